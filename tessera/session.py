@@ -67,3 +67,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     rows; otherwise return it unchanged so Spark plans a shuffle join."""
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row text work at least one task per core.
+
+    A scan already split into >= defaultParallelism partitions (the
+    normal case at scale) is returned untouched — no shuffle; only an
+    under-split input (e.g. one Parquet row group) is round-robined."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df

@@ -9,6 +9,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -21,7 +23,7 @@ def corpus_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus(repo, path, content, doc_id): repo = language, one file per
     document."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select(
+    return spread(d).select(
         F.col("lang").alias("repo"),
         F.concat(F.col("source"), F.lit("/doc_"), F.col("doc_id").cast("string"),
                  F.lit(".txt")).alias("path"),
@@ -33,7 +35,7 @@ def corpus_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus(repo, path, content): repo = host of the url, path = url."""
     p = read_table(spark, sf_dir, "pages")
-    return p.select(
+    return spread(p).select(
         F.expr("parse_url(url, 'HOST')").alias("repo"),
         F.col("url").alias("path"),
         F.col("html").alias("content"),
