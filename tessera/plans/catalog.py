@@ -41,3 +41,5 @@ def q_fulltext(spark: SparkSession, sf: str) -> DataFrame:
 
 # Queries timed by bench.py (extended as operators land).
 HEADLINE = ["r13_fulltext_search"]
+
+from . import q_eval  # noqa: E402,F401  (registers the evaluation family)
