@@ -43,3 +43,4 @@ def q_fulltext(spark: SparkSession, sf: str) -> DataFrame:
 HEADLINE = ["r13_fulltext_search"]
 
 from . import q_eval  # noqa: E402,F401  (registers the evaluation family)
+from . import q_memory  # noqa: E402,F401
