@@ -44,3 +44,4 @@ HEADLINE = ["r13_fulltext_search"]
 
 from . import q_eval  # noqa: E402,F401  (registers the evaluation family)
 from . import q_memory  # noqa: E402,F401
+from . import q_symbols  # noqa: E402,F401
