@@ -46,3 +46,4 @@ from . import q_eval  # noqa: E402,F401  (registers the evaluation family)
 from . import q_memory  # noqa: E402,F401
 from . import q_symbols  # noqa: E402,F401
 from . import q_calls  # noqa: E402,F401
+from . import q_corpus  # noqa: E402,F401
