@@ -47,3 +47,4 @@ from . import q_memory  # noqa: E402,F401
 from . import q_symbols  # noqa: E402,F401
 from . import q_calls  # noqa: E402,F401
 from . import q_corpus  # noqa: E402,F401
+from . import q_extract  # noqa: E402,F401
