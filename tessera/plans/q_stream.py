@@ -40,3 +40,16 @@ SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, retriever, count
 FROM log GROUP BY 1, 2""")
 def q_i05(spark, sf):
     return S.hourly_counters(E.benchmark_log(T.read_table(spark, sf, "events")))
+
+
+@register("g01_flow_trace")
+def q_g01(spark, sf):
+    """Flow trace from every nation node over the nation/region/supplier/
+    customer graph (rows-only in the driver; brute force in pytest)."""
+    from ..operators.graph import flow_confidence, flow_trace
+    edges = T.flow_edges(spark, sf)
+    n = T.read_table(spark, sf, "nation")
+    seeds = n.select(F.col("n_nationkey").alias("query_id"),
+                     F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.lit(0).alias("seed_ord"))
+    tr = flow_trace(seeds, edges)
+    return tr.join(tr.groupBy("query_id").agg(flow_confidence(F.count(F.lit(1))).alias("confidence")), "query_id")

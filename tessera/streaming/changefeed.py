@@ -19,7 +19,10 @@ WATERMARK = "10 minutes"
 def change_bursts(changes: DataFrame, gap: str = "1 second") -> DataFrame:
     """I03 debounce: one row per burst of change events per repo — a
     session window that restarts on each event (quiet period ``gap``)."""
-    return (changes.withWatermark("ts", WATERMARK) if changes.isStreaming else changes) \
+    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
+    src = (changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+           if changes.isStreaming else changes)
+    return src \
         .groupBy("repo", F.session_window("ts", gap).alias("burst")) \
         .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("path").alias("paths")
              if not changes.isStreaming else F.approx_count_distinct("path").alias("paths")) \
@@ -30,7 +33,8 @@ def change_bursts(changes: DataFrame, gap: str = "1 second") -> DataFrame:
 def hourly_counters(log: DataFrame) -> DataFrame:
     """Tumbling 1-hour counters per retriever (count, correct,
     token and latency sums).  Watermarked when streaming."""
-    src = log.withWatermark("timestamp", WATERMARK) if log.isStreaming else log
+    src = (log.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", WATERMARK)
+           if log.isStreaming else log)
     return (src.groupBy(F.window("timestamp", "1 hour").alias("w"), "retriever")
             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("long")).alias("correct"),
                  F.sum("tokens").alias("tokens"), F.sum("latency_ms").alias("latency_ms"))
