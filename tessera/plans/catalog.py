@@ -50,3 +50,4 @@ from . import q_calls  # noqa: E402,F401
 from . import q_corpus  # noqa: E402,F401
 from . import q_extract  # noqa: E402,F401
 from . import q_stream  # noqa: E402,F401
+from . import q_classify  # noqa: E402,F401

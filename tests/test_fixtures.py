@@ -139,3 +139,17 @@ def test_r19_module_confidence(spark):
     from tessera.operators.graph import module_confidence
     df = spark.createDataFrame([(x,) for x in [0.05, 0.30, 0.50, 0.80]], "s double")
     assert [r[0] for r in df.select(module_confidence(F.col("s"))).collect()] == [0.2, 0.65, 0.8, 0.95]
+
+
+def test_t12_t17_classes(spark):
+    from tessera.functions.classify import answer_type, query_class
+    qs = ["who calls send_chat", "Who calls RepoMap", "", "where is RepoMap", "is there a cache"]
+    df = spark.createDataFrame([(q,) for q in qs], "text string")
+    lab, conf = query_class(F.col("text"))
+    typ, tconf = answer_type(F.col("text"))
+    rows = df.select(lab, conf, typ, tconf).collect()
+    assert [(r[0], round(r[1], 6)) for r in rows[:3]] == [("call", 0.9), ("call", 0.95), ("repository", 0.5)]
+    assert (rows[3][2], rows[3][3]) == ("location", 0.9)
+    assert (rows[4][2], rows[4][3]) == ("yes_no", 0.85)
+    plan = df.select(answer_type(F.col("text"), F.lit("plan"))[0]).first()[0]
+    assert plan == "plan"
