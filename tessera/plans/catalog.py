@@ -52,3 +52,4 @@ from . import q_extract  # noqa: E402,F401
 from . import q_stream  # noqa: E402,F401
 from . import q_classify  # noqa: E402,F401
 from . import q_keyword  # noqa: E402,F401
+from . import q_route  # noqa: E402,F401

@@ -153,3 +153,29 @@ def test_t12_t17_classes(spark):
     assert (rows[4][2], rows[4][3]) == ("yes_no", 0.85)
     plan = df.select(answer_type(F.col("text"), F.lit("plan"))[0]).first()[0]
     assert plan == "plan"
+
+
+def test_p08_quality_gate(spark):
+    from tessera.plans.routing import quality_gate
+    res = spark.createDataFrame([("a", "f1", 0.12), ("b", "f1", 0.3), ("c", "f1", 0.9), ("c", "f2", 0.5)],
+                                "query_id string, file string, score double")
+    qs = spark.createDataFrame([("a", "explanation"), ("b", "location"), ("c", "improvement")],
+                               "query_id string, answer_type string")
+    got = {r["query_id"]: r["passed"] for r in quality_gate(res, qs).collect()}
+    assert got == {"a": False, "b": True, "c": False}
+
+
+def test_p03_result_filter(spark):
+    from tessera.plans.routing import result_filter
+    res = spark.createDataFrame([("q", "src/a.py", 0.9), ("q", "mytmp/b.py", 0.8), ("q", "x/run.log", 0.7),
+                                 ("q", "src/c.py", 0.1), ("q", "src/d.py", 0.5), ("q", "src/e.py", 0.4)],
+                                "query_id string, file string, score double")
+    res = res.withColumn("cap", F.lit(2))
+    got = [r["file"] for r in result_filter(res, 0.15, "cap").orderBy("filtered_rank").collect()]
+    assert got == ["src/a.py", "src/d.py"]
+
+
+def test_p09_needs_compression(spark):
+    from tessera.plans.routing import needs_compression
+    df = spark.createDataFrame([(21, 10), (20, 10), (999, 0)], "o int, m int")
+    assert [r[0] for r in df.select(needs_compression(F.col("o"), F.col("m"))).collect()] == [True, False, False]
