@@ -160,3 +160,52 @@ def improvement_ranking(items: DataFrame, k: int = 5) -> DataFrame:
     s = (2 * lvl(F.col("impact")) + 1.5 * (2 - lvl(F.col("effort")))) * F.col("confidence")
     w = Window.partitionBy("grp").orderBy(F.desc("priority"), F.asc("ord"))
     return items.withColumn("priority", s).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def passage_ground_truth(corpus: DataFrame, passages: DataFrame) -> DataFrame:
+    """S22/J11 ground truth: the files whose content contains each passage
+    verbatim.  Exact and join-keyed: an interior word of the passage (its
+    longest one) must occur in the file as a whole whitespace token, so
+    files are probed by that token (equi-join) and verified with
+    ``contains``; passages with fewer than three words are matched by a
+    broadcast ``contains`` join on their own (small) set."""
+    words = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
+    interior = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    key = F.aggregate(interior, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
+    p = passages.select("query_id", "text", F.when(F.size(words) >= 3, key).alias("key"))
+    toks = corpus.select("repo", "path", "content",
+                         F.explode(F.array_distinct(F.split("content", r"\s+", -1))).alias("key"))
+    keyed = (toks.join(F.broadcast(p.where(F.col("key").isNotNull()).select("query_id", "key", F.col("text").alias("t"))), "key")
+             .where(F.col("content").contains(F.col("t"))).select("query_id", "repo", "path"))
+    short = p.where(F.col("key").isNull()).select("query_id", F.col("text").alias("t"))
+    loose = (corpus.join(F.broadcast(short), F.col("content").contains(F.col("t")))
+             .select("query_id", "repo", "path"))
+    return keyed.unionByName(loose).distinct()
+
+
+def retrieval_evidence(results: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
+    """Per question with ground truth — hit (any expected file in the
+    top k), first relevant rank, precision@k, recall@k (strict path
+    equality)."""
+    r = results.where(F.col("rank") <= k).select("query_id", "rank", F.col("file").alias("path"))
+    exp = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expected"))
+    hits = r.join(truth.select("query_id", "path").distinct(), ["query_id", "path"])
+    hq = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hit"), F.min("rank").alias("first_rank"))
+    nr = r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"))
+    j = exp.join(nr, "query_id", "left").join(hq, "query_id", "left").fillna({"n_results": 0, "n_hit": 0})
+    return j.select("query_id", "n_expected", "n_results", "n_hit", (F.col("n_hit") > 0).alias("hit"),
+                    F.when(F.col("first_rank").isNotNull(), 1.0 / F.col("first_rank")).otherwise(0.0).alias("rr"),
+                    F.when(F.col("n_results") > 0, F.col("n_hit") / F.col("n_results")).otherwise(0.0).alias("precision"),
+                    (F.col("n_hit") / F.col("n_expected")).alias("recall"))
+
+
+def dataset_report(truth: DataFrame, questions: DataFrame, category_col: str, approx: bool = False) -> DataFrame:
+    """Cases and distinct expected files per category plus a total
+    row (rollup); ``approx`` adds a HyperLogLog distinct count."""
+    q = questions.join(truth, "query_id", "left")
+    aggs = [F.countDistinct("query_id").alias("cases"),
+            F.countDistinct(F.when(F.col("path").isNotNull(), F.col("query_id"))).alias("with_expected"),
+            F.countDistinct("path").alias("distinct_files")]
+    if approx:
+        aggs.append(F.approx_count_distinct("path").alias("approx_files"))
+    return q.rollup(category_col).agg(*aggs)
