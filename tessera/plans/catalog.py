@@ -54,3 +54,4 @@ from . import q_classify  # noqa: E402,F401
 from . import q_keyword  # noqa: E402,F401
 from . import q_route  # noqa: E402,F401
 from . import q_evidence  # noqa: E402,F401
+from . import q_aggr  # noqa: E402,F401
