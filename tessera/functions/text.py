@@ -99,9 +99,13 @@ def alnum_words(s: Column, stops=None, min_len: int = 2) -> Column:
 
 
 def short_path(path: Column) -> Column:
-    """From internal/, cmd/ or pkg/ onward, else the basename."""
-    anchored = F.regexp_extract(path, r"((?:internal|cmd|pkg)/.*)$", 1)
-    return F.when(anchored != "", anchored).otherwise(F.element_at(F.split(path, "/"), -1))
+    """From the first '/internal/' (else '/cmd/', else '/pkg/') onward
+    without the leading slash, else the basename."""
+    out = F.element_at(F.split(path, "/"), -1)
+    for seg in reversed(["/internal/", "/cmd/", "/pkg/"]):
+        idx = F.instr(path, seg)
+        out = F.when(idx > 0, path.substr(idx + 1, F.length(path))).otherwise(out)
+    return out
 
 
 def byte_tokens(text: Column) -> Column:

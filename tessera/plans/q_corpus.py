@@ -30,7 +30,10 @@ SELECT repo, path, CAST(strlen(content) AS BIGINT) AS size, CAST(len(string_spli
         OR suffix(b, 'spec.rb') OR contains(b, 'test_') OR contains(b, '_spec.')) AS is_test,
        (b IN ('main.go', 'main.py', 'index.js', 'app.go', 'cmd.go') OR starts_with(b, 'main.')) AS is_entry,
        (contains(path, 'min.js') OR contains(path, '.min.')) AS is_minified,
-       coalesce(nullif(regexp_extract(path, '((?:internal|cmd|pkg)/.*)$', 1), ''), string_split(path, '/')[-1]) AS short_path
+       CASE WHEN instr(path, '/internal/') > 0 THEN substr(path, instr(path, '/internal/') + 1)
+            WHEN instr(path, '/cmd/') > 0 THEN substr(path, instr(path, '/cmd/') + 1)
+            WHEN instr(path, '/pkg/') > 0 THEN substr(path, instr(path, '/pkg/') + 1)
+            ELSE string_split(path, '/')[-1] END AS short_path
 FROM p""")
 def q_s12(spark, sf):
     return C.profile(T.corpus_from_documents(spark, sf))

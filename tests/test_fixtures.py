@@ -179,3 +179,29 @@ def test_p09_needs_compression(spark):
     from tessera.plans.routing import needs_compression
     df = spark.createDataFrame([(21, 10), (20, 10), (999, 0)], "o int, m int")
     assert [r[0] for r in df.select(needs_compression(F.col("o"), F.col("m"))).collect()] == [True, False, False]
+
+
+def test_c06_location_and_caller(spark):
+    from tessera.operators.compress import compress
+    rows = [("q", i, f"/repo/internal/pkg{i}/f{i}.go", "", i * 10, i * 10 + 5) for i in range(1, 6)]
+    res = spark.createDataFrame(rows, "query_id string, rank int, file string, snippet string, line_from int, line_to int")
+    qs = spark.createDataFrame([("q", "location", 200)], "query_id string, answer_type string, budget int")
+    ctx = compress(res, qs).first()["context"]
+    assert ctx.splitlines() == ["internal/pkg1/f1.go:10-15", "internal/pkg2/f2.go:20-25", "internal/pkg3/f3.go:30-35"]
+    res2 = spark.createDataFrame([("q", 1, "a.go", "  x()\n  y()", 0, 0), ("q", 2, "b.go", "x()\n", 0, 0)],
+                                 "query_id string, rank int, file string, snippet string, line_from int, line_to int")
+    qs2 = spark.createDataFrame([("q", "caller", 500)], "query_id string, answer_type string, budget int")
+    assert compress(res2, qs2).first()["context"] == "Callers:\n  x()\n  y()\n"
+
+
+def test_c09_clean_snippet(spark):
+    from tessera.operators.compress import clean_snippet
+    text = "\n".join(["// Code generated by x", "a", "", "", "import (", "  \"a\"", "  \"b\"", "  \"c\"", ")", "b"])
+    got = one(spark, clean_snippet, [text])[0].split("\n")
+    assert got == ["a", "", "import (", "  \"a\"", "  \"b\"", "  // ... imports truncated ...", ")", "b"]
+
+
+def test_t09_short_path(spark):
+    from tessera.functions.text import short_path
+    assert one(spark, short_path, ["/r/internal/retrieval/fts.go", "/r/x/cmd/root.go", "/r/a/b.py", "myinternal/x.go"]) == \
+        ["internal/retrieval/fts.go", "cmd/root.go", "b.py", "x.go"]
