@@ -56,3 +56,4 @@ from . import q_route  # noqa: E402,F401
 from . import q_evidence  # noqa: E402,F401
 from . import q_aggr  # noqa: E402,F401
 from . import q_compress  # noqa: E402,F401
+from . import q_module  # noqa: E402,F401
