@@ -113,3 +113,34 @@ def call_edges(corpus: DataFrame) -> DataFrame:
     return out.where(F.col("caller").isNotNull()).select(
         "repo", F.col("caller").alias("caller_name"), F.col("path").alias("caller_file"),
         F.col("callee").alias("callee_name"), F.col("path").alias("file"), "line")
+
+
+# FIXED VALUES: identifiers always taken as references (X05, Python/JS).
+REF_WORDS = ["self", "cls", "this", "it", "err", "nil", "true", "false", "None", "True", "False"]
+
+
+def references(corpus: DataFrame, top_level_only: bool = False) -> DataFrame:
+    """Identifier tokens of >= 2 chars that start upper-case or are
+    one of REF_WORDS, one row per (line, identifier); context = trimmed
+    line, at most 120 chars + '...'.  Definition lines are skipped; with
+    ``top_level_only`` lines inside function/class bodies are skipped too
+    (the reference's behaviour, decision Q3)."""
+    defs = definitions(corpus)
+    c = with_lines(corpus)
+    rows = c.select("repo", "path", "indent", F.posexplode("lines").alias("i", "l")).withColumn("line", F.col("i") + 1)
+    deflines = defs.select("repo", "path", F.col("start_line").alias("line"))
+    rows = rows.join(deflines, ["repo", "path", "line"], "left_anti")
+    if top_level_only:
+        spans = defs.select("repo", "path", "start_line", "end_line")
+        inside = rows.join(spans, ["repo", "path"]).where(
+            (F.col("line") > F.col("start_line")) & (F.col("line") <= F.col("end_line"))).select("repo", "path", "line")
+        rows = rows.join(inside.distinct(), ["repo", "path", "line"], "left_anti")
+    words = F.array(*[F.lit(w) for w in REF_WORDS])
+    toks = rows.select("repo", "path", "line", "l", F.explode(F.regexp_extract_all("l", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)))
+                       .alias("symbol_name"))
+    toks = toks.where((F.length("symbol_name") >= 2) & (F.col("symbol_name").rlike("^[A-Z]")
+                                                        | F.array_contains(words, F.col("symbol_name"))))
+    t = F.regexp_replace("l", r"^\s+|\s+$", "")
+    ctx = F.when(F.length(t) > 120, F.concat(t.substr(F.lit(1), F.lit(120)), F.lit("..."))).otherwise(t)
+    return toks.select("repo", "symbol_name", F.col("path").alias("file"), "line",
+                       F.lit("reference").alias("ref_type"), ctx.alias("context"))

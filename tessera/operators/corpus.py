@@ -95,3 +95,31 @@ def directory_rollup(corpus: DataFrame) -> DataFrame:
     d = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     return corpus.select("repo", d.alias("dir"), F.octet_length("content").alias("bytes")).rollup("repo", "dir") \
         .agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").cast("long").alias("bytes"))
+
+
+# FIXED VALUES: binary extensions (S03, case-sensitive) and the wider
+# indexable-extension list of the state check (P10).
+BINARY_EXTS = [".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot", ".pdf", ".zip",
+               ".tar", ".gz", ".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".a", ".pyc", ".class"]
+INDEXABLE_EXTS = [".go", ".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".rs", ".rb", ".java", ".c", ".cpp", ".h", ".hpp",
+                  ".cs", ".php", ".swift", ".kt", ".scala", ".sh", ".sql", ".html", ".css", ".json", ".yaml", ".yml",
+                  ".md", ".toml", ".lua", ".zig"]
+
+
+def _ext(path: Column) -> Column:
+    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\.[^.]*)$", 1)
+
+
+def has_binary_extension(path: Column) -> Column:
+    """S03."""
+    return _ext(path).isin(*BINARY_EXTS)
+
+
+def is_indexable_extension(path: Column) -> Column:
+    """P10."""
+    return _ext(path).isin(*INDEXABLE_EXTS)
+
+
+def file_listing(corpus: DataFrame) -> DataFrame:
+    """Relative paths ascending per repository (a global sort)."""
+    return corpus.select("repo", "path").orderBy("repo", "path")

@@ -34,3 +34,12 @@ def test_x06_python_imports(spark):
     c = _corpus(spark, "m.py", "import os.path as p, sys\nfrom pkg.mod import x as y, z")
     got = sorted(r["name"] for r in python_imports(c).collect())
     assert got == ["os", "sys", "x", "z"]
+
+
+def test_x05_references(spark):
+    from tessera.operators.code import references
+    c = _corpus(spark, "m.py", "import os\nx = RepoMap(self)\ndef f():\n  y = Cache()\n")
+    allr = {(r["symbol_name"], r["line"]) for r in references(c).collect()}
+    assert allr == {("RepoMap", 2), ("self", 2), ("Cache", 4)}
+    top = {(r["symbol_name"], r["line"]) for r in references(c, top_level_only=True).collect()}
+    assert top == {("RepoMap", 2), ("self", 2)}
