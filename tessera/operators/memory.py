@@ -13,19 +13,21 @@ def knowledge_state(log: DataFrame) -> DataFrame:
     """M01 + M02 over a log ``(key, kind in {store, lookup}, ts, ord,
     value, confidence)``.  Latest store wins (created_at, hit_count reset
     to 1); every lookup after it is a hit (hit_count + 1, last_used_at).
-    One shuffle on ``key``; no group is collected."""
-    w = Window.partitionBy("key").orderBy(F.col("ts"), F.col("ord"))
-    last_store = F.max(F.when(F.col("kind") == "store", F.struct("ts", "ord"))).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    marked = log.withColumn("store_at", last_store)
-    stores = marked.where(F.col("kind") == "store")
-    latest = (stores.withColumn("rn", F.row_number().over(
-        Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("ord")))).where("rn = 1")
-        .select("key", "value", "confidence", F.col("ts").alias("created_at"),
-                F.struct("ts", "ord").alias("store_at")))
-    hits = (marked.where((F.col("kind") == "lookup") & F.col("store_at").isNotNull())
-            .groupBy("key", "store_at").agg(F.count(F.lit(1)).alias("hits"), F.max("ts").alias("last_hit")))
-    out = latest.join(hits, ["key", "store_at"], "left")
+
+    No per-key window: the latest store is a partial aggregate
+    (``max_by``), lookups meet it through an equi-join (AQE splits a hot
+    key), and hits are a second partial aggregate."""
+    order = F.struct("ts", "ord")
+    latest = (log.where(F.col("kind") == "store").groupBy("key")
+              .agg(F.max_by(F.struct("value", "confidence", "ts", "ord"), order).alias("s"))
+              .select("key", F.col("s.value").alias("value"), F.col("s.confidence").alias("confidence"),
+                      F.col("s.ts").alias("created_at"), F.col("s.ord").alias("store_ord")))
+    after = ((F.col("ts") > F.col("created_at"))
+             | ((F.col("ts") == F.col("created_at")) & (F.col("ord") > F.col("store_ord"))))
+    hits = (log.where(F.col("kind") == "lookup").select("key", "ts", "ord")
+            .join(latest.select("key", "created_at", "store_ord"), "key").where(after)
+            .groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.max("ts").alias("last_hit")))
+    out = latest.join(hits, "key", "left")
     return out.select("key", "value", "confidence", "created_at",
                       F.coalesce(F.col("last_hit"), F.col("created_at")).alias("last_used_at"),
                       (1 + F.coalesce(F.col("hits"), F.lit(0))).alias("hit_count"))
