@@ -55,18 +55,41 @@ def lru_replay(access: DataFrame, capacity: int) -> DataFrame:
                            F.col("hits") / (F.col("hits") + F.col("misses"))).otherwise(0.0))
 
 
-def lru_accesses(access: DataFrame, capacity: int) -> DataFrame:
+def lru_accesses(access: DataFrame, capacity: int, window: int | None = None) -> DataFrame:
+    """Per access: hit iff the key was seen before and fewer than
+    ``capacity`` distinct keys were touched since (distinct(p, i) =
+    #{j in (p, i) : next(j) > i}).
+
+    Bounded work: gaps shorter than ``capacity`` are hits outright; for
+    longer gaps only the last ``window`` accesses (default 4·capacity)
+    are expanded — reaching ``capacity`` live keys there decides a miss,
+    and a gap no longer than the window is counted exactly.  Only the
+    remaining accesses (long gap, few distinct keys near the end) expand
+    their whole gap."""
+    window = window or max(4 * capacity, capacity + 1)
     w = Window.partitionBy("cache").orderBy("ts", "ord")
     seq = access.withColumn("i", F.row_number().over(w))
     wk = Window.partitionBy("cache", "key").orderBy("i")
     seq = seq.withColumn("p", F.lag("i").over(wk)).withColumn("nxt", F.lead("i").over(wk))
+    nxt = seq.select("cache", F.col("i").alias("j"), "nxt")
+
+    def live_count(rows: DataFrame, lo) -> DataFrame:
+        between = rows.select("cache", F.col("i").alias("at"), F.explode(F.sequence(lo, F.col("i") - 1)).alias("j"))
+        return (between.join(nxt, ["cache", "j"])
+                .where(F.col("nxt").isNull() | (F.col("nxt") > F.col("at")))
+                .groupBy("cache", "at").agg(F.count(F.lit(1)).alias("live")))
+
     far = seq.where(F.col("p").isNotNull() & ((F.col("i") - F.col("p") - 1) >= capacity))
-    between = far.select("cache", F.col("i").alias("at"),
-                         F.explode(F.sequence(F.col("p") + 1, F.col("i") - 1)).alias("j"))
-    live = (between.join(seq.select("cache", F.col("i").alias("j"), "nxt"), ["cache", "j"])
-            .where(F.col("nxt").isNull() | (F.col("nxt") > F.col("at")))
-            .groupBy("cache", "at").agg(F.count(F.lit(1)).alias("distinct_between")))
-    out = seq.join(live.withColumnRenamed("at", "i"), ["cache", "i"], "left")
+    lo1 = F.greatest(F.col("p") + 1, F.col("i") - window)
+    near = live_count(far, lo1).withColumnRenamed("at", "i")
+    f1 = far.join(near, ["cache", "i"], "left").fillna({"live": 0})
+    decided = f1.where((F.col("live") >= capacity) | ((F.col("i") - F.col("p") - 1) <= window)) \
+        .select("cache", "i", F.col("live").alias("distinct_between"))
+    rest = f1.where((F.col("live") < capacity) & ((F.col("i") - F.col("p") - 1) > window)).drop("live")
+    exact = live_count(rest, F.col("p") + 1).select("cache", F.col("at").alias("i"),
+                                                    F.col("live").alias("distinct_between"))
+    counts = decided.unionByName(exact)
+    out = seq.join(counts, ["cache", "i"], "left")
     hit = F.col("p").isNotNull() & (F.coalesce(F.col("distinct_between"), F.lit(0)) < capacity)
     return out.select("cache", "key", "ts", "ord", "i", hit.alias("hit"))
 

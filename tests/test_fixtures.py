@@ -205,3 +205,28 @@ def test_t09_short_path(spark):
     from tessera.functions.text import short_path
     assert one(spark, short_path, ["/r/internal/retrieval/fts.go", "/r/x/cmd/root.go", "/r/a/b.py", "myinternal/x.go"]) == \
         ["internal/retrieval/fts.go", "cmd/root.go", "b.py", "x.go"]
+
+
+def test_m04_lru_bounded_matches_brute_force(spark):
+    """Random access logs: the bounded LRU replay equals a brute-force LRU."""
+    import random
+    from collections import OrderedDict
+    from tessera.operators.memory import lru_accesses
+    rnd = random.Random(3)
+    rows, expect = [], {}
+    for cache in range(4):
+        keys = [rnd.choice("ABCDEFG" if cache % 2 else "AB") for _ in range(60)]
+        lru = OrderedDict()
+        for i, k in enumerate(keys):
+            hit = k in lru
+            if hit:
+                lru.move_to_end(k)
+            else:
+                lru[k] = True
+                if len(lru) > 3:
+                    lru.popitem(last=False)
+            expect[(cache, i)] = hit
+            rows.append((cache, k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i))
+    df = spark.createDataFrame(rows, "cache int, key string, ts timestamp_ntz, ord int")
+    got = {(r["cache"], r["ord"]): r["hit"] for r in lru_accesses(df, 3, window=4).collect()}
+    assert got == expect
