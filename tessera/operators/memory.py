@@ -96,20 +96,27 @@ def lru_accesses(access: DataFrame, capacity: int, window: int | None = None) ->
 
 def asof_discovery(stores: DataFrame, lookups: DataFrame, ttl_seconds: int) -> DataFrame:
     """For each lookup the newest store of the same key made at
-    or before it; hit iff its age <= ttl.  As-of join via one union and a
-    running ``last(ignorenulls)`` window — no range join."""
-    s = stores.select("key", "ts", "ord", F.lit(0).alias("side"),
-                      F.col("ts").alias("s_ts"), F.col("confidence").alias("s_conf"))
-    l = lookups.select("key", "ts", "ord", F.lit(1).alias("side"),
-                       F.lit(None).cast("timestamp_ntz").alias("s_ts"), F.lit(None).cast("double").alias("s_conf"))
-    w = (Window.partitionBy("key").orderBy("ts", "side", "ord")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = s.unionByName(l).withColumn("store_ts", F.last("s_ts", ignorenulls=True).over(w)) \
-        .withColumn("store_conf", F.last("s_conf", ignorenulls=True).over(w))
-    age = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("store_ts").cast("timestamp"))
-    return (u.where(F.col("side") == 1)
-            .select("key", "ts", "ord", "store_ts", "store_conf", age.alias("age_s"),
-                    (F.col("store_ts").isNotNull() & (age <= ttl_seconds)).alias("hit")))
+    or before it; a hit iff that store is at most ``ttl_seconds`` old
+    (store fields are null on a miss).
+
+    Only stores within the TTL can decide a hit, so the as-of join is an
+    equi-join on (key, time bucket of width ttl) against the lookup's
+    bucket and the one before it, then the newest qualifying store — no
+    per-key window, and a hot key is spread over its time buckets."""
+    sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    s = stores.select("key", F.col("ts").alias("store_ts"), F.col("ord").alias("store_ord"),
+                      F.col("confidence").alias("store_conf"), (sec("ts") / ttl_seconds).cast("long").alias("bucket"))
+    lk = lookups.select("key", "ts", "ord", (sec("ts") / ttl_seconds).cast("long").alias("b0"))
+    cand = lk.select("*", F.explode(F.array(F.col("b0"), F.col("b0") - 1)).alias("bucket"))
+    age = sec("ts") - sec("store_ts")
+    m = (cand.join(s, ["key", "bucket"])
+         .where((F.col("store_ts") <= F.col("ts")) & (age <= ttl_seconds))
+         .groupBy("key", "ts", "ord")
+         .agg(F.max_by(F.struct("store_ts", "store_conf"), F.struct("store_ts", "store_ord")).alias("s")))
+    out = lk.join(m, ["key", "ts", "ord"], "left")
+    return out.select("key", "ts", "ord", F.col("s.store_ts").alias("store_ts"), F.col("s.store_conf").alias("store_conf"),
+                      (sec("ts") - F.unix_timestamp(F.col("s.store_ts").cast("timestamp"))).alias("age_s"),
+                      F.col("s").isNotNull().alias("hit"))
 
 
 # FIXED VALUES: whole-word pronouns replaced by the last resolved entity.

@@ -56,11 +56,13 @@ def q_m04(spark, sf):
 
 @register("m06_discovery_ttl_lookup", lambda: sql_round("""
 WITH s AS (SELECT user_id AS key, ts, event_id AS ord, value AS confidence FROM events WHERE event_type = 'view'),
-l AS (SELECT user_id AS key, ts, event_id AS ord FROM events WHERE event_type = 'click')
-SELECT l.key, l.ts, l.ord, s.ts AS store_ts, s.confidence AS store_conf,
-       epoch_us(l.ts) // 1000000 - epoch_us(s.ts) // 1000000 AS age_s,
-       coalesce(s.ts IS NOT NULL AND epoch_us(l.ts) // 1000000 - epoch_us(s.ts) // 1000000 <= 3600, false) AS hit
-FROM l ASOF LEFT JOIN s ON l.key = s.key AND l.ts >= s.ts""", ["store_conf"]))
+l AS (SELECT user_id AS key, ts, event_id AS ord FROM events WHERE event_type = 'click'),
+j AS (SELECT l.key, l.ts, l.ord, s.ts AS sts, s.confidence AS sconf,
+             epoch_us(l.ts) // 1000000 - epoch_us(s.ts) // 1000000 AS age
+      FROM l ASOF LEFT JOIN s ON l.key = s.key AND l.ts >= s.ts)
+SELECT key, ts, ord, CASE WHEN age <= 3600 THEN sts END AS store_ts, CASE WHEN age <= 3600 THEN sconf END AS store_conf,
+       CASE WHEN age <= 3600 THEN age END AS age_s, coalesce(age <= 3600, false) AS hit
+FROM j""", ["store_conf"]))
 def q_m06(spark, sf):
     e = T.read_table(spark, sf, "events")
     s = e.where(F.col("event_type") == "view").select(F.col("user_id").alias("key"), "ts",
