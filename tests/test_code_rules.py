@@ -43,3 +43,11 @@ def test_x05_references(spark):
     assert allr == {("RepoMap", 2), ("self", 2), ("Cache", 4)}
     top = {(r["symbol_name"], r["line"]) for r in references(c, top_level_only=True).collect()}
     assert top == {("RepoMap", 2), ("self", 2)}
+
+
+def test_j07_call_context(spark):
+    from tessera.operators.calls import with_call_context
+    from tessera.operators.code import call_edges
+    c = _corpus(spark, "m.py", "def f():\n  g(1)\n  h(2)")
+    got = sorted((r["callee_name"], r["context"]) for r in with_call_context(call_edges(c), c).collect())
+    assert got == [("g", "g(1)"), ("h", "h(2)")]
