@@ -42,7 +42,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``; we only set one of
     our own when it is unset (local tests)."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint dir
+        return spark.conf.get("spark.checkpoint.dir", "")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
@@ -75,6 +78,9 @@ def spread(df: DataFrame) -> DataFrame:
     A scan already split into >= defaultParallelism partitions (the
     normal case at scale) is returned untouched — no shuffle; only an
     under-split input (e.g. one Parquet row group) is round-robined."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect has no RDD API
+        return df
     return df.repartition(target) if n < target else df
