@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
+
 # FIXED VALUES: research-score weights (E03) and the $ price per million
 # tokens used for cost efficiency.
 W_ACC, W_COV, W_TOKEN, W_LAT, W_PASS = 0.40, 0.25, 0.20, 0.10, 0.05
@@ -172,13 +174,13 @@ def passage_ground_truth(corpus: DataFrame, passages: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
     interior = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     key = F.aggregate(interior, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    p = passages.select("query_id", "text", F.when(F.size(words) >= 3, key).alias("key"))
+    p = bounded_broadcast(passages.select("query_id", "text", F.when(F.size(words) >= 3, key).alias("key")))
     toks = corpus.select("repo", "path", "content",
                          F.explode(F.array_distinct(F.split("content", r"\s+", -1))).alias("key"))
-    keyed = (toks.join(F.broadcast(p.where(F.col("key").isNotNull()).select("query_id", "key", F.col("text").alias("t"))), "key")
+    keyed = (toks.join((p.where(F.col("key").isNotNull()).select("query_id", "key", F.col("text").alias("t"))), "key")
              .where(F.col("content").contains(F.col("t"))).select("query_id", "repo", "path"))
     short = p.where(F.col("key").isNull()).select("query_id", F.col("text").alias("t"))
-    loose = (corpus.join(F.broadcast(short), F.col("content").contains(F.col("t")))
+    loose = (corpus.join(short, F.col("content").contains(F.col("t")))
              .select("query_id", "repo", "path"))
     return keyed.unionByName(loose).distinct()
 
