@@ -119,6 +119,8 @@ def asof_discovery(stores: DataFrame, lookups: DataFrame, ttl_seconds: int) -> D
                       F.col("s").isNotNull().alias("hit"))
 
 
+TURN_BUCKET = 1024
+
 # FIXED VALUES: whole-word pronouns replaced by the last resolved entity.
 PRONOUN_RE = r"(?<![A-Za-z0-9_])(it|this)(?![A-Za-z0-9_])"
 
@@ -148,9 +150,19 @@ def resolve_pronouns(turns: DataFrame) -> DataFrame:
     ent = F.when(session_entity(F.col("text")) != "", session_entity(F.col("text"))).otherwise(
         last_capitalised(F.col("text")))
     u = u.withColumn("entity", F.when(ent != "", ent))
-    w = (Window.partitionBy("conv_id").orderBy("turn")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    u = u.withColumn("last_resolved", F.last("entity", ignorenulls=True).over(w))
+    # Last non-empty entity of earlier turns, two-level so no window spans
+    # a whole conversation: a running window inside 1024-turn buckets,
+    # plus the last entity of earlier buckets (a window over one row per
+    # bucket).
+    u = u.withColumn("bucket", F.floor(F.col("turn") / TURN_BUCKET))
+    w_in = (Window.partitionBy("conv_id", "bucket").orderBy("turn")
+            .rowsBetween(Window.unboundedPreceding, -1))
+    u = u.withColumn("in_bucket", F.last("entity", ignorenulls=True).over(w_in))
+    per_b = u.groupBy("conv_id", "bucket").agg(
+        F.max_by(F.col("entity"), F.when(F.col("entity").isNotNull(), F.col("turn"))).alias("b_last"))
+    w_b = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per_b = per_b.withColumn("before", F.last("b_last", ignorenulls=True).over(w_b)).select("conv_id", "bucket", "before")
+    u = u.join(per_b, ["conv_id", "bucket"]).withColumn("last_resolved", F.coalesce("in_bucket", "before"))
     resolved = F.when(F.col("last_resolved").isNotNull(),
                       F.regexp_replace("text", PRONOUN_RE, F.col("last_resolved"))).otherwise(F.col("text"))
     return u.select("conv_id", "turn", "entity", "last_resolved", resolved.alias("resolved"))

@@ -230,3 +230,23 @@ def test_m04_lru_bounded_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "cache int, key string, ts timestamp_ntz, ord int")
     got = {(r["cache"], r["ord"]): r["hit"] for r in lru_accesses(df, 3, window=4).collect()}
     assert got == expect
+
+
+def test_m10_two_level_matches_brute_force(spark, monkeypatch):
+    import random
+    from tessera.operators import memory as M
+    monkeypatch.setattr(M, "TURN_BUCKET", 2)
+    rnd = random.Random(5)
+    rows, expect = [], {}
+    for conv in range(3):
+        last = None
+        for turn in range(12):
+            name = rnd.choice([None, None, "RepoMap", "TokenCache", "SessionStore"])
+            text = (f"look at {name} now" if name else "what about it") if rnd.random() < 0.9 else "it"
+            rows.append((conv, turn, "user", text))
+            expect[(conv, turn)] = last
+            if name and text.startswith("look"):
+                last = name
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    got = {(r["conv_id"], r["turn"]): r["last_resolved"] for r in M.resolve_pronouns(df).collect()}
+    assert got == expect
