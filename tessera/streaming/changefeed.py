@@ -18,16 +18,47 @@ WATERMARK = "10 minutes"
 
 def change_bursts(changes: DataFrame, gap: str = "1 second") -> DataFrame:
     """I03 debounce: one row per burst of change events per repo — a
-    session window that restarts on each event (quiet period ``gap``)."""
-    # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
-    src = (changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
-           if changes.isStreaming else changes)
-    return src \
-        .groupBy("repo", F.session_window("ts", gap).alias("burst")) \
-        .agg(F.count(F.lit(1)).alias("events"), F.countDistinct("path").alias("paths")
-             if not changes.isStreaming else F.approx_count_distinct("path").alias("paths")) \
-        .select("repo", F.col("burst.start").alias("burst_start"), F.col("burst.end").alias("burst_end"),
-                "events", "paths")
+    session that restarts on each event (quiet period ``gap``).
+
+    Streaming input uses Spark's watermarked ``session_window``.  Batch
+    input is split two-level so no window spans a whole repository: gaps
+    are found inside time buckets (60 gaps wide) and across bucket edges
+    from one row per bucket; burst ids are a within-bucket running count
+    plus the count of earlier bursts from one row per bucket."""
+    if changes.isStreaming:
+        # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
+        src = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
+        return (src.groupBy("repo", F.session_window("ts", gap).alias("burst"))
+                .agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("path").alias("paths"))
+                .select("repo", F.col("burst.start").alias("burst_start"), F.col("burst.end").alias("burst_end"),
+                        "events", "paths"))
+    from pyspark.sql import Window
+    gap_s = _seconds(gap)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    c = changes.select("repo", "path", "ts", us.alias("t")).withColumn("b", F.floor(F.col("t") / (gap_s * 60 * 1_000_000)))
+    w_in = Window.partitionBy("repo", "b").orderBy("t", "path")
+    c = c.withColumn("prev_t", F.lag("t").over(w_in))
+    per_b = c.groupBy("repo", "b").agg(F.min("t").alias("b_min"), F.max("t").alias("b_max"))
+    w_b = Window.partitionBy("repo").orderBy("b")
+    per_b = per_b.withColumn("prev_b_max", F.lag("b_max").over(w_b))
+    c = c.join(per_b.select("repo", "b", "prev_b_max"), ["repo", "b"])
+    prev = F.coalesce(F.col("prev_t"), F.col("prev_b_max"))
+    c = c.withColumn("brk", (prev.isNull() | (F.col("t") - prev >= gap_s * 1_000_000)).cast("int"))
+    c = c.withColumn("in_b", F.sum("brk").over(w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    nb = c.groupBy("repo", "b").agg(F.sum("brk").alias("n_brk"))
+    nb = nb.withColumn("before", F.coalesce(F.sum("n_brk").over(w_b.rowsBetween(Window.unboundedPreceding, -1)),
+                                            F.lit(0)))
+    c = c.join(nb.select("repo", "b", "before"), ["repo", "b"]).withColumn("sid", F.col("before") + F.col("in_b"))
+    g = c.groupBy("repo", "sid").agg(F.min("ts").alias("burst_start"), F.max("ts").alias("last_ts"),
+                                     F.count(F.lit(1)).alias("events"), F.countDistinct("path").alias("paths"))
+    return g.select("repo", "burst_start",
+                    (F.col("last_ts") + F.expr(f"INTERVAL {gap}")).alias("burst_end"), "events", "paths")
+
+
+def _seconds(gap: str) -> int:
+    n, unit = gap.split()
+    mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}[unit]
+    return int(n) * mult
 
 
 def hourly_counters(log: DataFrame) -> DataFrame:
