@@ -9,7 +9,7 @@ from ..operators import html as H
 from ..operators.fulltext import fulltext_search
 from ..sources import tables as T
 from .catalog import register
-from .util import round_doubles
+from .util import round_doubles, sql_round
 
 PAGES = "SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS repo, url AS path, html AS content FROM pages"
 
@@ -42,7 +42,24 @@ def q_a11(spark, sf):
     return H.reference_breakdown(H.html_references(T.corpus_from_pages(spark, sf)))
 
 
-@register("c01_greedy_packing")
+def packing_sql(budget: int = 300) -> str:
+    from ..oracle.fulltext import fulltext_sql
+    return sql_round(f"""
+WITH res AS ({fulltext_sql()}),
+pq AS (SELECT CAST(query_id AS VARCHAR) || ':' || repo AS query_id,
+              list(struct_pack(rank := rank, file := file, score := score, tokens := tokens) ORDER BY rank) AS items
+       FROM res GROUP BY 1),
+f AS (SELECT query_id, items, list_reduce(items, lambda acc, x: CASE WHEN acc.used + x.tokens <= {budget}
+          THEN {{'used': acc.used + x.tokens, 'kept': list_append(acc.kept, x.file), 'dropped': acc.dropped}}
+          ELSE {{'used': acc.used, 'kept': acc.kept, 'dropped': acc.dropped + 1}} END,
+          {{'used': CAST(0 AS BIGINT), 'kept': []::VARCHAR[], 'dropped': CAST(0 AS BIGINT)}}) AS p FROM pq)
+SELECT query_id, p.used AS tokens, CAST(len(p.kept) AS INTEGER) AS selected, p.dropped AS dropped,
+       array_to_string(p.kept, '|') AS kept_files,
+       len(list_filter(items, lambda x: x.score > 0)) / len(items) AS precision, p.used / {budget} AS efficiency
+FROM f""", ["precision", "efficiency"])
+
+
+@register("c01_greedy_packing", packing_sql)
 def q_c01(spark, sf):
     """Full-text top-5 per (query, repo) packed into a 300-token budget
     per query (rows-only in the driver; exact in pytest)."""
