@@ -62,3 +62,26 @@ FROM t5""", ["score", "density", "unique_ratio", "recency", "weight"])
 @register("r09_keyword_scan", keyword_sql)
 def q_r09(spark, sf):
     return round_doubles(K.keyword_scan(T.corpus_from_documents(spark, sf), T.queries_from_benchmark(spark, sf)))
+
+
+def confidence_sql():
+    return sql_round(f"""
+WITH {_base_sql()},
+res AS ({keyword_sql()}),
+n AS (SELECT query_id, repo, count(*) AS n_results FROM res GROUP BY query_id, repo),
+seen AS (SELECT r.query_id, r.repo, count(DISTINCT k.kw_idx) AS seen FROM res r JOIN kw k
+         ON k.query_id = r.query_id AND contains(lower(r.snippet), k.kw) GROUP BY r.query_id, r.repo),
+tot AS (SELECT query_id, repo, sum(m) AS total_matches FROM pf GROUP BY query_id, repo),
+nkw AS (SELECT query_id, min(n_kw) AS n_kw FROM kw GROUP BY query_id)
+SELECT n.query_id, n.repo, n.n_results, CAST(tot.total_matches AS BIGINT) AS total_matches,
+       least(0.8 * coalesce(seen.seen, 0) / nkw.n_kw
+             + 0.2 * least(tot.total_matches, 500) / (least(tot.total_matches, 500) + n.n_results), 0.92) AS confidence
+FROM n JOIN tot ON tot.query_id = n.query_id AND tot.repo = n.repo JOIN nkw ON nkw.query_id = n.query_id
+LEFT JOIN seen ON seen.query_id = n.query_id AND seen.repo = n.repo""", ["confidence"])
+
+
+@register("r10_keyword_confidence", confidence_sql)
+def q_r10(spark, sf):
+    corpus = T.corpus_from_documents(spark, sf)
+    qs = T.queries_from_benchmark(spark, sf)
+    return round_doubles(K.keyword_confidence(K.keyword_scan(corpus, qs), corpus, qs))
