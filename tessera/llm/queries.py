@@ -4,29 +4,64 @@ digest columns which its contract names."""
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
-from .common import table
+from . import bpe, decontaminate, licenses, secrets, token_files
+from .common import ship, table
 
 QUERIES: dict = {}
 
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = (fn, sql)
-        return fn
+        @wraps(fn)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = (query, sql)
+        return query
     return deco
 
 
+@register("op1_license_scan", licenses.ORACLE_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+@register("op3_secret_scan")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == list(secrets.KINDS).index(kind))).cast("long")
+
+    def standing(name: str):
+        return F.size(F.filter("spans", lambda s: s["standing"] == name)).cast("long")
+
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"), count("general").alias("n_general"),
+                        F.sha2(secrets.span_names(secrets.base_spans("spans")), 256).alias("base_sha256"),
+                        secrets.span_names(F.col("spans")).alias("spans"),
+                        standing("live").alias("n_live"), standing("copied").alias("n_copied"))
+
+
 @register("op4_byte_bpe")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
 
 
+@register("op5_token_files")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    path = token_files.write_token_files(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(spark, path)
+
+
 @register("op9_decontamination")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
