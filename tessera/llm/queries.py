@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, secrets, token_files
+from . import bpe, decontaminate, licenses, lsh_forest, secrets, token_files
 from .common import ship, table
 
 QUERIES: dict = {}
@@ -62,6 +62,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+@register("op8_lsh_forest")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf, "documents")).drop("digest")
+
+
 @register("op9_decontamination")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
