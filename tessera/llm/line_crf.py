@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, held_out, list_array, ranges, slices, text_rows
 
-FIT_DOCS = 6000
+FIT_DOCS = 2000
 FIT_LINES = 256
-FIT_STEPS = 250
+FIT_STEPS = 150
 THRESHOLD = 0.3
 MODULUS = 5
 

@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, lsh_forest, secrets, token_files
-from .common import ship, table
+from . import bpe, decontaminate, licenses, line_crf, lsh_forest, mixing, secrets, token_files
+from .common import held_out, ship, table
 
 QUERIES: dict = {}
 
@@ -33,6 +33,11 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents"))
 
 
+@register("op2_lm_score")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.score_texts(table(spark, sf, "documents"))
+
+
 @register("op3_secret_scan")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf, "documents"))
@@ -73,3 +78,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                        decontaminate.contaminated().alias("contaminated"))
+
+
+@register("op10_quality")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = line_crf.score_quality(docs, line_crf.train(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", held_out("doc_id", line_crf.MODULUS).alias("held_out"), "score",
+                         (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
