@@ -124,9 +124,17 @@ class Shard:
         return self.ids[int(start):int(end)]
 
 
-# Latin letters whose normal and lower-case forms are single letters, then one
-# mark: two pieces under the tokenizer's pattern, so the ids are those of both.
-_TAIL = regex.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,])").fullmatch
+# Latin letters whose normal and lower-case forms are single letters, and then
+# marks (no apostrophe): two pieces under the tokenizer's pattern, so the ids
+# are those of both, and those of the letters are those of their lower case.
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
+_LETTERS = regex.compile(_LATIN).fullmatch
+_TAIL = regex.compile(rf"({_LATIN})([!-&(-/:-@\[-`{{-~]+)").fullmatch
+
+# Signs which byte-level vocabularies write for bytes: printable ones stand
+# for themselves, the others follow from 256 on.
+_PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 class WordIds:
@@ -137,14 +145,16 @@ class WordIds:
 
     def __init__(self, tokenizer: str):
         self.library = Tokenizer.from_str(tokenizer)
+        self.model = self.library.model
         self.cuts = Memo(self._ids, MEMO)
         self.cuts[""] = ()
 
     def _ids(self, cut: str) -> tuple[int, ...]:
         if tail := _TAIL(cut):
             return self.cuts[tail[1]] + self.cuts[tail[2]]
-        if cut.isascii() and not cut.islower() and cut.isalpha():
-            return self.cuts[cut.lower()]
+        if _LETTERS(cut):
+            # one piece in normal form: only the lower case and the merges are left to do
+            return tuple([t.id for t in self.model.tokenize(cut.lower().encode().decode("latin-1").translate(_BYTE_SIGNS))])
         return tuple(self.library.encode(cut, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> list[int]:
