@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, line_crf, lsh_forest, mixing, secrets, token_files
+from . import bpe, decontaminate, grid_join, licenses, line_crf, lsh_forest, mixing, secrets, sentence_spans, token_files
 from .common import held_out, ship, table
 
 QUERIES: dict = {}
@@ -67,6 +67,19 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+@register("op6_grid_join")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf, "embeddings"))
+
+
+@register("op7_sentence_spans")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    found = sentence_spans.repeated_sentences(table(spark, sf, "documents"))
+    covered = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    places = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_sentences", covered.alias("n_removed"), places.alias("removed"), "first_docs")
+
+
 @register("op8_lsh_forest")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf, "documents")).drop("digest")
