@@ -11,8 +11,8 @@ greater depth unless links have joined them by then.
 
 Pairs whose signatures agree enough are candidates; links are confirmed on
 the full sets.  Of the candidates only those are looked at that would join two
-components, the likeliest of each component first, so a group of n copies
-costs about n comparisons.
+components: all at once where they are few for their nodes, else the likeliest
+of each component first, so that a group of n copies costs some n comparisons.
 
 At similarity 0.75 a pair shares the two first values of one of 14 orders with
 probability 0.99999 (0.99999 as well for four of 40 orders in the crowded
@@ -43,7 +43,7 @@ SURE = 0.56             # share of equal values below which a pair is no candida
 ORDERS, DEPTH, AHEAD = 14, 2, 8
 MORE_ORDERS, MORE_DEPTH = 40, 4
 LONGEST = 10            # values kept of an order
-PER_COMPONENT = 2
+SHIPPED = 8             # pairs per node whose sets may travel at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20240229)
@@ -268,20 +268,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if sets is None:
                 sets = set_table(open_)
                 bound = sets.count()
-            if n > bound:
+            if few := n <= SHIPPED * bound:
+                chosen = open_.select("a", "b")
+            else:
                 # the likeliest of each component; the rest may be joined by then
-                sides = open_.select("a", "b", F.col("ca").alias("c"), "est").unionByName(
-                    open_.select("a", "b", F.col("cb").alias("c"), "est"))
                 best = F.struct(F.col("est").alias("e"), F.xxhash64("a", "b").alias("h"), "a", "b")
-                tops = sides.groupBy("c").agg(F.max_by(best, best).alias("p"), F.min_by(best, F.abs(F.col("est") - 0.85)).alias("q"))
-                chosen = tops.select("p.a", "p.b").unionByName(tops.select("q.a", "q.b")).distinct()
-                chosen = written(chosen, "forest-chosen")
-            else:
-                chosen = open_.select("a", "b")
+                sides = open_.select(F.explode(F.array("ca", "cb")).alias("c"), best.alias("p"))
+                tops = sides.groupBy("c").agg(F.max("p").alias("p"), F.max_by("p", "p.h").alias("q"))
+                chosen = written(tops.select(F.explode(F.array("p", "q")).alias("x")).select("x.a", "x.b").distinct(), "forest-chosen")
             fresh = written(_verified(chosen, sets, similarity), "forest-links")
             links = fresh if links is None else links.unionByName(fresh)
             labels = written(components(links), "forest-labels")
-            if n <= bound:
+            if few:
                 return
             pairs = open_.select("a", "b", "est").join(chosen, ["a", "b"], "left_anti")
 
