@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import list_array, slices, text_rows, written
 
-MIN_WORDS = 20
+MIN_WORDS = 12
 SEVERAL = 2
-ALONE_WORDS = 40
+ALONE_WORDS = 30
 _CUT = regex.compile(r"(?<=[.!?])[^\S\n]+|\n+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
