@@ -215,11 +215,14 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
 
         return docs.mapInArrow(run, docs.schema)
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.select(F.struct(F.col(id_col).alias("k_id"), digest.alias("k_digest")).alias("k"), F.col(text_col).alias("t"))
-    bad = benchmark_hits(keyed, benchmark, id_col="k", text_col="t", item_col=item_col, item_text_col=item_text_col,
+    keyed = docs.select(F.struct(F.col(id_col).alias("hit_id"), digest.alias("hit_digest")).alias("hit_key"), F.col(text_col).alias("t"))
+    bad = benchmark_hits(keyed, benchmark, id_col="hit_key", text_col="t", item_col=item_col, item_text_col=item_text_col,
                          window=window, shard_bytes=shard_bytes) \
-        .where(contaminated()).select(F.col("doc_id.k_id").alias("k_id"), F.col("doc_id.k_digest").alias("k_digest")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("k_id")) & (digest == F.col("k_digest")), "left_anti")
+        .where(contaminated()).select(F.col("doc_id.hit_id").alias("hit_id"), F.col("doc_id.hit_digest").alias("hit_digest")).distinct()
+    left, right = docs.alias("docs"), bad.alias("bad")
+    same = F.col(f"docs.{id_col}").eqNullSafe(F.col("bad.hit_id")) & \
+        (F.md5(F.coalesce(F.col(f"docs.{text_col}"), F.lit(""))) == F.col("bad.hit_digest"))
+    return left.join(right, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
