@@ -38,5 +38,9 @@ STOP_TAGS = ["aider", "coders", "src", "lib", "test", "tests", "cmd", "internal"
 
 # FIXED VALUES: directories pruned from a corpus walk.
 PRUNED_DIRS = [".git", "node_modules", "vendor", ".venv", "venv", "__pycache__",
-               ".next", "dist", "build", "target", ".idea", ".vscode", ".DS_Store",
-               ".mycli-fts"]
+               ".next", "dist", "build", "target", ".idea", ".vscode", ".DS_Store"]
+
+# FIXED VALUES: well-known files and folders of a repository, best first.
+README_NAMES = ["README.md", "README.txt", "README", "Readme.md", "readme.md"]
+DOCS_DIRS = ["docs", "doc", "documentation"]
+TESTS_DIRS = ["tests", "test", "__tests__", "spec"]

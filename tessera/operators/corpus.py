@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.rules import PRUNED_DIRS
 from ..functions.text import short_path
 
-MAX_FILE_BYTES = 1 << 20
 # FIXED VALUES: extension -> language (S06); everything else is ''.
 EXT_LANG = {".go": "go", ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript",
             ".ts": "typescript", ".tsx": "typescript"}
@@ -56,12 +55,14 @@ def is_minified(path: Column) -> Column:
     return path.contains("min.js") | path.contains(".min.")
 
 
-def profile(corpus: DataFrame) -> DataFrame:
-    """S04–S06, S12, P04–P06, T09 per file; ``indexable`` = S05 (size in
-    1..1 MiB, not all whitespace) and not pruned / binary."""
+def profile(corpus: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
+    """S04–S06, S12, P04–P06, T09 per file; ``indexable`` = S05 (not
+    empty, not all whitespace, no larger than ``max_file_bytes`` where that is
+    given) and not pruned / binary."""
     c, p = F.col("content"), F.col("path")
     size = F.octet_length(c).cast("long")
-    keep = (size.between(1, MAX_FILE_BYTES) & (F.regexp_replace(c, r"\s", "") != "")
+    fits = F.lit(True) if max_file_bytes is None else size <= max_file_bytes
+    keep = ((size >= 1) & fits & (F.regexp_replace(c, r"\s", "") != "")
             & ~is_pruned(p) & ~is_binary(c))
     return corpus.select(
         "repo", "path", size.alias("size"), F.size(F.split(c, "\n", -1)).cast("long").alias("n_lines"),

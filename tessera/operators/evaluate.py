@@ -26,7 +26,7 @@ def benchmark_log(events: DataFrame) -> DataFrame:
     user_id % 7 over the seven ground-truth categories; confidence =
     min(1, value / 50); coverage hit = props.k >= 50."""
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return events.select(
         F.col("event_id").alias("id"),
         F.col("event_type").alias("retriever"),
@@ -187,9 +187,10 @@ def passage_ground_truth(corpus: DataFrame, passages: DataFrame) -> DataFrame:
 
 def retrieval_evidence(results: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
     """Per question with ground truth — hit (any expected file in the
-    top k), first relevant rank, precision@k, recall@k (strict path
-    equality)."""
-    r = results.where(F.col("rank") <= k).select("query_id", "rank", F.col("file").alias("path"))
+    top k of all repositories together), first relevant rank, precision@k,
+    recall@k (strict path equality)."""
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "rank", "repo", "file")
+    r = results.select("query_id", F.row_number().over(w).alias("rank"), F.col("file").alias("path")).where(F.col("rank") <= k)
     exp = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expected"))
     hits = r.join(truth.select("query_id", "path").distinct(), ["query_id", "path"])
     hq = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hit"), F.min("rank").alias("first_rank"))

@@ -163,6 +163,8 @@ def resolve_pronouns(turns: DataFrame) -> DataFrame:
     w_b = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_b = per_b.withColumn("before", F.last("b_last", ignorenulls=True).over(w_b)).select("conv_id", "bucket", "before")
     u = u.join(per_b, ["conv_id", "bucket"]).withColumn("last_resolved", F.coalesce("in_bucket", "before"))
+    # the entity stands for itself: no group references in it
+    quoted = F.replace(F.replace(F.col("last_resolved"), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     resolved = F.when(F.col("last_resolved").isNotNull(),
-                      F.regexp_replace("text", PRONOUN_RE, F.col("last_resolved"))).otherwise(F.col("text"))
+                      F.regexp_replace("text", PRONOUN_RE, quoted)).otherwise(F.col("text"))
     return u.select("conv_id", "turn", "entity", "last_resolved", resolved.alias("resolved"))

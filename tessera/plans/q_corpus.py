@@ -20,9 +20,9 @@ p AS (SELECT repo, path, content, {_base('path')} AS b, lower(regexp_extract(pat
 SELECT repo, path, CAST(strlen(content) AS BIGINT) AS size, CAST(len(string_split(content, chr(10))) AS BIGINT) AS n_lines,
        sha256(content) AS sha256, substr(sha256(content), 1, 32) AS summary_hash,
        instr(substr(content, 1, 1024), chr(0)) > 0 AS is_binary,
-       (strlen(content) BETWEEN 1 AND 1048576 AND regexp_replace(content, '\\s', '', 'g') <> ''
+       (strlen(content) >= 1 AND regexp_replace(content, '\\s', '', 'g') <> ''
         AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules', 'vendor', '.venv', 'venv', '__pycache__',
-            '.next', 'dist', 'build', 'target', '.idea', '.vscode', '.DS_Store', '.mycli-fts'])
+            '.next', 'dist', 'build', 'target', '.idea', '.vscode', '.DS_Store'])
         AND NOT instr(substr(content, 1, 1024), chr(0)) > 0) AS indexable,
        coalesce(CASE ext WHEN '.go' THEN 'go' WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript'
                 WHEN '.mjs' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' END, '') AS language,

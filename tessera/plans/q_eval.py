@@ -128,7 +128,7 @@ def q_e11w(spark, sf):
 
 def _improvements(spark, sf):
     e = T.read_table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return e.select(
         F.col("user_id").alias("grp"), F.col("event_id").alias("ord"),
         F.when(F.col("value") >= 30, "High").when(F.col("value") >= 15, "Medium").otherwise("Low").alias("impact"),

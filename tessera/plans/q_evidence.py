@@ -29,7 +29,8 @@ def evidence_sql():
     return sql_round(f"""
 WITH {TRUTH_SQL},
 res AS ({ft}),
-r AS (SELECT query_id, rank, file AS path FROM res WHERE rank <= 5),
+r AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank, repo, file) AS rank,
+                        file AS path FROM res) WHERE rank <= 5),
 exp AS (SELECT query_id, count(*) AS n_expected FROM truth GROUP BY query_id),
 hq AS (SELECT r.query_id, count(*) AS n_hit, min(r.rank) AS first_rank FROM r JOIN (SELECT DISTINCT query_id, path FROM truth) t
        ON t.query_id = r.query_id AND t.path = r.path GROUP BY r.query_id),
@@ -48,7 +49,6 @@ def q_e01(spark, sf):
     corpus = T.corpus_from_documents(spark, sf)
     qs = T.queries_from_benchmark(spark, sf)
     truth = E.passage_ground_truth(corpus, qs)
-    # results across repositories: rank by score over the per-repo top 5
     res = fulltext_search(corpus, qs)
     return round_doubles(E.retrieval_evidence(res, truth))
 

@@ -31,7 +31,7 @@ qi AS (SELECT query_id, min(n_kw) AS n_kw, max(CASE WHEN kw_idx = 0 THEN kw END)
 f0 AS (SELECT pf.*, qi.n_kw, qi.kw0, len(string_split(c.content, chr(10))) AS n_lines,
               string_split(c.content, chr(10)) AS lines, c.path AS p
        FROM pf JOIN qi USING (query_id) JOIN corpus c ON c.repo = pf.repo AND c.path = pf.path),
-f1 AS (SELECT *, CAST(CASE WHEN p IN ('README.md', 'README', 'readme.md', 'README.rst', 'README.txt') THEN 3.0
+f1 AS (SELECT *, CAST(CASE WHEN p IN ('README.md', 'README.txt', 'README', 'Readme.md', 'readme.md') THEN 3.0
                       WHEN string_split(p, '/')[1] IN ('docs', 'doc', 'documentation') AND contains(p, '/') THEN 2.0
                       ELSE 1.0 END AS DOUBLE) AS weight,
               m / greatest(n_lines, 1) AS density, matched / greatest(n_kw, 1) AS unique_ratio,

@@ -19,7 +19,7 @@ def symbol_questions(spark, sf):
     return g.select("query_id", F.concat(F.lit("where is "), F.initcap("p_name")).alias("text"))
 
 
-SYM_SQL = """sym AS (SELECT substr(sha256(p_name || '|' || p_type || '|' || p_brand || '|' || CAST(p_size AS VARCHAR)), 1, 16) AS id,
+SYM_SQL = """sym AS (SELECT DISTINCT substr(sha256(p_name || '|' || p_type || '|' || p_brand || '|' || CAST(p_size AS VARCHAR)), 1, 16) AS id,
        p_name AS name, p_type AS kind, p_brand AS file, p_size AS start_line, p_size + 10 AS end_line,
        p_type || ' ' || p_name AS signature FROM part),
 qs AS (SELECT min(p_partkey) AS query_id, 'where is ' || (SELECT string_agg(upper(left(w, 1)) || lower(substr(w, 2)), ' ')

@@ -8,11 +8,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Upper bound (rows) for any side we hand to ``broadcast``.  Query
 # batches, rule tables and per-query top-k sets sit far below it; if a
 # side is larger, the join falls back to a shuffle join.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def local_session(cores: int | str = "*", app: str = "tessera",
@@ -53,11 +55,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     path = os.path.join("/tmp", "tessera-checkpoints", uuid.uuid4().hex)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and the path in its terms."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if ``path`` exists in the storage that Spark reads it from."""
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, sorted; none if it is missing."""
+    fs, at = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives
     executor loss; never a local checkpoint)."""
@@ -65,11 +87,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows``
-    rows; otherwise return it unchanged so Spark plans a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after proving that it holds at most
+    ``max_rows`` rows and ``max_bytes`` of values; otherwise return it
+    unchanged so Spark plans a shuffle join."""
+    wide = [F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+            if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+            else F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+            if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8) for f in df.schema.fields]
+    size = df.limit(max_rows + 1).select(sum(wide, F.lit(0)).cast("long").alias("b")) \
+        .agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size.n <= max_rows and size.b <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

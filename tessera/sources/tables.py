@@ -36,7 +36,7 @@ def corpus_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus(repo, path, content): repo = host of the url, path = url."""
     p = read_table(spark, sf_dir, "pages")
     return spread(p).select(
-        F.expr("parse_url(url, 'HOST')").alias("repo"),
+        F.expr("try_parse_url(url, 'HOST')").alias("repo"),
         F.col("url").alias("path"),
         F.col("html").alias("content"),
         F.col("page_id"),
@@ -64,6 +64,8 @@ def symbols_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     start_line=p_size, end_line=p_size+10, signature=type+' '+name,
     id = first 16 hex chars of sha256(name|kind|file|line)."""
     p = read_table(spark, sf_dir, "part")
+    # a symbol is upserted by its id: rows that repeat name, kind, file and line are one symbol
+    p = p.groupBy("p_name", "p_type", "p_brand", "p_size").agg(F.min("p_partkey").alias("p_partkey"))
     out = p.select(
         F.lit("x").alias("repo"),
         F.col("p_partkey").alias("part_key"),

@@ -5,13 +5,12 @@ so the same code runs on a batch DataFrame (tests, backfills) and on a
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, folders_in
 
 WATERMARK = "10 minutes"
 
@@ -74,35 +73,45 @@ def hourly_counters(log: DataFrame) -> DataFrame:
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
     """Replay of the ``events`` table as a stream (file source)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame to completion (available-now trigger)
-    into a memory table; the checkpoint lives under the cluster's shared
-    checkpoint directory so a restarted driver resumes exactly once."""
+def run_to_table(df: DataFrame, name: str, output_mode: str = "append", run_id: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame to completion (available-now trigger) into
+    Parquet under the shared folder and return what it wrote.  Every batch is
+    a folder of its own, rewritten if the batch is retried; with "complete"
+    the last one is the result.  A driver that restarts with the same
+    ``run_id`` resumes from the checkpoint; without one each run is new."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    q = (df.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", os.path.join(base, f"stream-{name}-{uuid.uuid4().hex}"))
-         .trigger(availableNow=True).start())
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}-{run_id or uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/v{batch_id:08d}")
+
+    q = (df.writeStream.foreachBatch(keep).outputMode(output_mode)
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    versions = folders_in(spark, f"{base}/out")
+    if not versions:
+        return spark.createDataFrame([], df.schema)
+    wanted = versions[-1:] if output_mode == "complete" else versions
+    return spark.read.schema(df.schema).parquet(*[f"{base}/out/{v}" for v in wanted])
 
 
 def knowledge_upserts(batch: DataFrame, batch_id: int, target_path: str) -> None:
     """I06 ``foreachBatch`` body: last write per (type, key) in the
     micro-batch, merged into the target by replace-by-key and written as
-    a new version directory (never overwriting the path it reads)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("type", "key").orderBy(F.desc("ts"), F.desc("ord"))
-    latest = batch.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    a new version directory.  The version before this batch's own is the old
+    state, so a retried batch writes the same again."""
+    row = F.struct(*[F.col(c) for c in batch.columns])
+    latest = batch.groupBy("type", "key").agg(F.max_by(row, F.struct("ts", "ord")).alias("row")).select("row.*")
     spark = batch.sparkSession
-    out = os.path.join(target_path, f"v{batch_id:08d}")
-    prev = [d for d in sorted(os.listdir(target_path)) if d.startswith("v")] if os.path.isdir(target_path) else []
+    target_path = target_path.rstrip("/")
+    out = f"{target_path}/v{batch_id:08d}"
+    prev = [v for v in folders_in(spark, target_path) if v.startswith("v") and v < f"v{batch_id:08d}"]
     if prev:
-        old = spark.read.parquet(os.path.join(target_path, prev[-1]))
+        old = spark.read.parquet(f"{target_path}/{prev[-1]}")
         latest = old.join(latest.select("type", "key"), ["type", "key"], "left_anti").unionByName(latest)
     latest.write.mode("overwrite").parquet(out)
