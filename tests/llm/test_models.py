@@ -49,7 +49,7 @@ def test_probabilities_add_up_to_one():
     learner = mixing.Learner()
     for _ in range(5):
         learner.step(words, scripts, counts.astype(float), tree, mixing._scaled(table))
-    model = mixing.Model(tree, mixing._scaled(table), learner.w.astype(np.float32), np.zeros(16))
+    model = mixing.Model(tree, learner.w.astype(np.float32), np.zeros(16), mixing._scaled(table))
     nodes = {}
     for byte in range(256):
         path = [int(x) for x in tree.node[tree.first[byte]:tree.first[byte] + tree.length[byte]]]
