@@ -19,15 +19,16 @@ def _names(kinds):
     return F.concat_ws("|", F.transform(srt, lambda s: s["name"]))
 
 
-def file_summary(symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """A01 per file: symbol count, first language by line, functions and
-    classes in line order, import count."""
+def file_summary(files: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """A01 for every file (repo, path, content): lines, symbol count, first
+    language by line, functions and classes in line order, import count."""
     s = symbols.groupBy("repo", "file").agg(
         F.count(F.lit(1)).alias("n_symbols"),
         F.min_by("language", F.struct("line", "name")).alias("language"),
         _names(FUNCTION_KINDS).alias("functions"), _names(CLASS_KINDS).alias("classes"))
     i = refs.where(F.col("ref_type") == "import").groupBy("repo", "file").agg(F.count(F.lit(1)).alias("n_imports"))
-    return s.join(i, ["repo", "file"], "full_outer").fillna({"n_symbols": 0, "n_imports": 0})
+    f = files.select("repo", F.col("path").alias("file"), F.size(F.split("content", "\n", -1)).cast("long").alias("lines"))
+    return f.join(s, ["repo", "file"], "left").join(i, ["repo", "file"], "left").fillna({"n_symbols": 0, "n_imports": 0})
 
 
 def directory_of(file_col):

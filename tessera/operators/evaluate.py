@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, cut_lineage
 
 # FIXED VALUES: research-score weights (E03) and the $ price per million
 # tokens used for cost efficiency.
@@ -175,10 +175,12 @@ def passage_ground_truth(corpus: DataFrame, passages: DataFrame) -> DataFrame:
     interior = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     key = F.aggregate(interior, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
     p = bounded_broadcast(passages.select("query_id", "text", F.when(F.size(words) >= 3, key).alias("key")))
-    toks = corpus.select("repo", "path", "content",
-                         F.explode(F.array_distinct(F.split("content", r"\s+", -1))).alias("key"))
-    keyed = (toks.join((p.where(F.col("key").isNotNull()).select("query_id", "key", F.col("text").alias("t"))), "key")
-             .where(F.col("content").contains(F.col("t"))).select("query_id", "repo", "path"))
+    toks = corpus.select("repo", "path", F.explode(F.array_distinct(F.split("content", r"\s+", -1))).alias("key"))
+    asked = p.where(F.col("key").isNotNull()).select("query_id", "key", F.col("text").alias("t"))
+    # only keys meet; the text comes back for the files that hold one
+    files = bounded_broadcast(cut_lineage(toks.join(asked, "key").select("query_id", "t", "repo", "path")))
+    keyed = corpus.select("repo", "path", "content").join(files, ["repo", "path"]) \
+        .where(F.col("content").contains(F.col("t"))).select("query_id", "repo", "path")
     short = p.where(F.col("key").isNull()).select("query_id", F.col("text").alias("t"))
     loose = (corpus.join(short, F.col("content").contains(F.col("t")))
              .select("query_id", "repo", "path"))

@@ -44,12 +44,12 @@ s AS (SELECT repo, file, count(*) AS n_symbols, arg_min(language, (line, name))
              coalesce(string_agg(name, '|' ORDER BY line, name) FILTER (WHERE kind IN ('class', 'struct', 'interface')), '') AS classes
       FROM sym GROUP BY repo, file),
 i AS (SELECT repo, file, count(*) AS n_imports FROM refs GROUP BY repo, file)
-SELECT coalesce(s.repo, i.repo) AS repo, coalesce(s.file, i.file) AS file, coalesce(s.n_symbols, 0) AS n_symbols,
+SELECT p.repo, p.path AS file, CAST(len(string_split(p.content, chr(10))) AS BIGINT) AS lines, coalesce(s.n_symbols, 0) AS n_symbols,
        s.language, s.functions, s.classes, coalesce(i.n_imports, 0) AS n_imports
-FROM s FULL OUTER JOIN i ON s.repo = i.repo AND s.file = i.file""")
+FROM p LEFT JOIN s ON s.repo = p.repo AND s.file = p.path LEFT JOIN i ON i.repo = p.repo AND i.file = p.path""")
 def q_a01(spark, sf):
-    _, sym, refs = _index(spark, sf)
-    return A.file_summary(sym, refs)
+    pages, sym, refs = _index(spark, sf)
+    return A.file_summary(pages, sym, refs)
 
 
 MOD_SQL = """pf AS (SELECT repo, file, language, count(*) AS n FROM sym GROUP BY repo, file, language),
@@ -88,14 +88,13 @@ def q_a03(spark, sf):
 
 @register("a05_table_counts", lambda: f"""
 WITH {SYM_SQL},
-u AS (SELECT repo, 'symbols' AS t FROM sym UNION ALL SELECT repo, 'references' FROM refs)
+u AS (SELECT repo, 'symbols' AS t FROM sym UNION ALL SELECT repo, 'references' FROM refs UNION ALL SELECT 'x', 'edges' FROM lineitem)
 SELECT repo, CAST(sum(CASE WHEN t = 'symbols' THEN 1 ELSE 0 END) AS BIGINT) AS symbols,
-       CAST(sum(CASE WHEN t = 'references' THEN 1 ELSE 0 END) AS BIGINT) AS "references", CAST(0 AS BIGINT) AS edges
+       CAST(sum(CASE WHEN t = 'references' THEN 1 ELSE 0 END) AS BIGINT) AS "references", CAST(sum(CASE WHEN t = 'edges' THEN 1 ELSE 0 END) AS BIGINT) AS edges
 FROM u GROUP BY repo""")
 def q_a05(spark, sf):
     _, sym, refs = _index(spark, sf)
-    edges = spark.createDataFrame([], "repo string")
-    return A.table_counts(sym, refs, edges)
+    return A.table_counts(sym, refs, T.call_edges_from_lineitem(spark, sf))
 
 
 @register("g06_reachability", lambda: """
