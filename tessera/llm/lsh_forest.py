@@ -277,8 +277,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 tops = sides.groupBy("c").agg(F.max("p").alias("p"), F.max_by("p", "p.h").alias("q"))
                 chosen = written(tops.select(F.explode(F.array("p", "q")).alias("x")).select("x.a", "x.b").distinct(), "forest-chosen")
             fresh = written(_verified(chosen, sets, similarity), "forest-links")
-            links = fresh if links is None else links.unionByName(fresh)
-            labels = written(components(links), "forest-labels")
+            if fresh.limit(1).count():
+                links = fresh if links is None else links.unionByName(fresh)
+                labels = written(components(links), "forest-labels")
             if few:
                 return
             pairs = open_.select("a", "b", "est").join(chosen, ["a", "b"], "left_anti")

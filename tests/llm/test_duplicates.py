@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import grid_join, lsh_forest, sentence_spans
@@ -55,7 +56,9 @@ def test_near_duplicates_match_brute_force(spark, odd_rows, none):
     assert lsh_forest.near_duplicates(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [250_000, 100])
+def test_components(spark, share, monkeypatch):
+    monkeypatch.setattr("tessera.llm.components.SHARE", share)
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + k, 1001 + k) for k in range(150)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
