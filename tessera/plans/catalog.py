@@ -43,7 +43,7 @@ def q_fulltext(spark: SparkSession, sf: str) -> DataFrame:
 HEADLINE = ["r13_fulltext_search", "r09_keyword_scan", "r01_symbol_search", "r07_caller_search",
             "t12_query_class", "t17_answer_type", "s12_corpus_profile", "i01_incremental_counts",
             "m04_lru_cache_replay", "e04_global_leaderboard", "i05_hourly_counters", "a01_file_summary",
-            "g06_reachability"]
+            "g06_reachability", "r16_module_search", "s22_passage_ground_truth"]
 
 from . import q_eval  # noqa: E402,F401  (registers the evaluation family)
 from . import q_memory  # noqa: E402,F401
