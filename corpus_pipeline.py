@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, line_crf, lsh_forest, secrets
-from tessera.llm.common import ship, table
+from tessera.llm.common import ship, table, written
 from tessera.session import ensure_checkpoint_dir
 
 
@@ -34,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     per_key = found.groupBy("doc_id", "digest").agg(F.min("component_id").alias("component_id"), F.count("*").alias("drop_n"))
     per_group = per_key.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull())) \
         .groupBy("component_id").agg(F.min("digest").alias("first"))
+    per_group = written(per_group, "groups")    # a side of its own, so that a large group can be split in the join
     judged = per_key.alias("k").join(per_group.alias("g"), F.col("k.component_id") == F.col("g.component_id"), "left").select(
         F.col("k.doc_id").alias("drop_id"), F.col("k.digest").alias("drop_digest"), "drop_n",
         (F.col("g.first").isNull() | (F.col("k.doc_id").eqNullSafe(F.col("g.component_id")) & (F.col("k.digest") == F.col("g.first")))).alias("drop_stays"))

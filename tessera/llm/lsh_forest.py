@@ -303,6 +303,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     else:
         placed = placed.withColumn("c", F.coalesce("node", -F.col("row") - 1))
     placed = written(placed.select("doc_id", "digest", "n_shingles", "c"), "forest-placed")
-    least = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    least = written(placed.groupBy("c").agg(F.min("doc_id").alias("component_id")), "forest-least")
     return placed.join(least, "c").select("doc_id", "digest", "n_shingles", "component_id",
                                           F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

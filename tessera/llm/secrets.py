@@ -96,7 +96,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spread = owned.groupBy("value_sha256").agg(F.sum("n").alias("n"), F.count_distinct("repo").alias("n_repos"),
                                                F.count_distinct("owner").alias("n_owners"))
     standing = F.when(F.col("n_owners") >= copied_owners, "copied").when(F.col("n_owners") > 1, "shared").otherwise("live")
-    judged = hits.join(spread.withColumn("standing", standing), "value_sha256") \
+    judged = hits.join(written(spread.withColumn("standing", standing), "secrets-values"), "value_sha256") \
         .where((F.col("kind") != general) | (F.col("standing") != "copied"))
     per_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         "start", "kind", "end", "value_sha256", "n_repos", "n_owners", "standing"))).alias("spans"))

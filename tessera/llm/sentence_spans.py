@@ -93,6 +93,7 @@ def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .select("row", "doc_id", "start", F.col("s.ends").alias("end"), F.col("s.hashes").alias("hash"))
     first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("first")) \
         .where("n > 1").select("hash", "first")
+    first = written(first, "spans-first")       # a side of its own, so that a hot hash can be split in the join
     again = spans.join(first, "hash").where(~F.struct("doc_id", "row", "start").eqNullSafe(F.col("first"))) \
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("covered"),
                             F.array_sort(F.collect_set("first.doc_id")).alias("first_docs"))
