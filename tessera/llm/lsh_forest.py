@@ -6,8 +6,8 @@ the nodes are sorted by their values, dealt out by range, and every node meets
 the next ones in the sorted sequence that share its first values.  In a thin
 region these are all nodes with a short common prefix, in a crowded one the
 neighbours with the longest: the depth follows the region.  Nodes of crowded
-regions, where neighbours were left over, meet again in many more orders at a
-greater depth unless links have joined them by then.
+regions, where neighbours were left over and links have not joined all, are
+compared exactly, by a join on their rarest shingles (``crowd_pairs``).
 
 Pairs whose signatures agree enough are candidates; links are confirmed on
 the full sets.  Of the candidates only those are looked at that would join two
@@ -15,8 +15,8 @@ components: all at once where they are few for their nodes, else the likeliest
 of each component first, so that a group of n copies costs some n comparisons.
 
 At similarity 0.75 a pair shares the two first values of one of 14 orders with
-probability 0.99999 (0.99999 as well for four of 40 orders in the crowded
-case).  The tests hold the links against brute force.
+probability 0.99999; pairs that the look ahead then leaves out are found by
+the exact join.  The tests hold the links against brute force.
 
 Defined results: a text without words, empty or null, has no shingle and no
 link; rows with the same set are linked; a null id is never the smallest of a
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import as_bytes, ranges, slices, text_rows, written
+from .common import as_bytes, list_array, ranges, slices, text_rows, written
 from .components import components
 
 SHINGLE = 5
@@ -41,14 +41,14 @@ SIMILARITY = (75, 100)
 VALUES = 96             # MinHash values of a signature
 SURE = 0.56             # share of equal values below which a pair is no candidate (4.3 deviations under 0.75)
 ORDERS, DEPTH, AHEAD = 14, 2, 8
-MORE_ORDERS, MORE_DEPTH = 40, 4
 LONGEST = 10            # values kept of an order
+RARE = 32               # sets that may hold a shingle by which all of them meet
 SHIPPED = 8             # pairs per node whose sets may travel at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_READ = np.stack([_rng.permutation(VALUES)[:LONGEST] for _ in range(ORDERS + MORE_ORDERS)])
+_READ = np.stack([_rng.permutation(VALUES)[:LONGEST] for _ in range(ORDERS)])
 
 
 class Shingles:
@@ -123,7 +123,7 @@ def _sketched(rows: DataFrame, id_type: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, digest string, n_shingles long, set_id binary, sig binary")
 
 
-def _in_order(nodes: DataFrame, first: int, last: int) -> DataFrame:
+def _in_order(nodes: DataFrame) -> DataFrame:
     """Each node once per order, sorted inside ranges by the order's values."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -132,21 +132,19 @@ def _in_order(nodes: DataFrame, first: int, last: int) -> DataFrame:
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, VALUES)
             brief = (sig & np.uint16(255)).astype(np.uint8)
             short = pa.array([r.tobytes() for r in brief], pa.binary())
-            for order in range(first, last):
+            for order in range(ORDERS):
                 keys = np.ascontiguousarray(sig[:, _READ[order]].astype(">u2"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(part.num_rows, order, np.int32)), pa.array([r.tobytes() for r in keys], pa.binary()),
-                     part.column("node"), part.column("component"), short], ["order", "key", "node", "component", "brief"])
+                     part.column("node"), short], ["order", "key", "node", "brief"])
 
-    rows = nodes.select("node", "component", "sig").mapInArrow(
-        run, "order int, key binary, node long, component long, brief binary")
+    rows = nodes.select("node", "sig").mapInArrow(run, "order int, key binary, node long, brief binary")
     return rows.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
 
 
-def _neighbours(nodes: DataFrame, first: int, last: int, depth: int) -> DataFrame:
-    """(a, b, est): pairs of near nodes in sorted sequences, of different
-    components, that may be similar; b is null for a node ``a`` of a run that
-    is longer than the look ahead."""
+def _neighbours(nodes: DataFrame) -> DataFrame:
+    """(a, b, est): pairs of near nodes in sorted sequences that may be
+    similar; b is null for a node ``a`` that has not met all of its run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -155,15 +153,15 @@ def _neighbours(nodes: DataFrame, first: int, last: int, depth: int) -> DataFram
                 continue
             cols = [np.asarray(batch.column("order")),
                     np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(n, LONGEST),
-                    np.asarray(batch.column("node")), np.asarray(batch.column("component")),
+                    np.asarray(batch.column("node")),
                     np.frombuffer(b"".join(batch.column("brief").to_pylist()), np.uint8).reshape(n, VALUES)]
             old = 0
             if held is not None:
                 old = len(held[0])
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            order, key, node, comp, brief = cols
+            order, key, node, brief = cols
             held = [c[-AHEAD:] for c in cols]
-            same = (key[1:, :depth] == key[:-1, :depth]).all(axis=1) & (order[1:] == order[:-1])
+            same = (key[1:, :DEPTH] == key[:-1, :DEPTH]).all(axis=1) & (order[1:] == order[:-1])
             reach = np.concatenate([[False], same])         # shares the prefix with the row before it
             a_out, b_out, e_out = [], [], []
             run_on = reach.copy()
@@ -174,25 +172,120 @@ def _neighbours(nodes: DataFrame, first: int, last: int, depth: int) -> DataFram
                 later = later[later >= max(old, ahead)]
                 if not len(later):
                     break
-                wanted = later[comp[later] != comp[later - ahead]]
-                for at in range(0, len(wanted), 1 << 15):
-                    x = wanted[at:at + (1 << 15)]
+                for at in range(0, len(later), 1 << 15):
+                    x = later[at:at + (1 << 15)]
                     est = (brief[x] == brief[x - ahead]).mean(axis=1)
                     good = est >= SURE
                     a_out.append(np.minimum(node[x], node[x - ahead])[good])
                     b_out.append(np.maximum(node[x], node[x - ahead])[good])
                     e_out.append(est[good])
             else:
-                crowd = np.unique(node[later])
+                crowd = np.unique(np.concatenate([node[later], node[later - AHEAD]]))    # both ends of what is left out
                 yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64()), pa.nulls(len(crowd), pa.float64())],
                                                  ["a", "b", "est"])
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a_out, b_out, e_out)], ["a", "b", "est"])
 
-    return _in_order(nodes, first, last).mapInArrow(run, "a long, b long, est double") \
+    return _in_order(nodes).mapInArrow(run, "a long, b long, est double") \
         .groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
+def _still_open(crowded: DataFrame) -> DataFrame:
+    """Nodes of (node, component, sig) whose prefix in some order occurs with
+    several components."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, VALUES)
+                for order in range(ORDERS):
+                    keys = np.full(part.num_rows, order, np.int64)
+                    for column in _READ[order][:DEPTH]:
+                        keys = keys << 16 | sig[:, column]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("node"), part.column("component")], ["key", "node", "component"])
+
+    keyed = crowded.select("node", "component", "sig").mapInArrow(run, "key long, node long, component long")
+    several = written(keyed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"),
+                      "forest-runs")        # a side of its own, so that a long run can be split in the join
+    return keyed.join(several, "key").select("node").distinct()
+
+
+def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE) -> DataFrame:
+    """(a, b, est) of nodes of ``sets`` (node, set) such that every pair which
+    is similar enough is joined by similar pairs among them.  Exact.
+
+    Sets with their shingles in one order, rare ones first, can only be
+    similar if their prefixes share a shingle.  Sets meet by the shingles of
+    their prefixes that at most ``rare`` sets hold.  A pair without such a
+    shingle can only share frequent ones, and both its prefixes reach these:
+    such sets go on with their frequent shingles alone, equal ones as one
+    class.  The more shingles a member has beyond its class, the fewer members
+    of any class are similar to it; so a member need only meet the smallest of
+    its own class and of each class that its class meets.  Shingles are
+    counted by classes, so those of a template are rare when the texts that
+    share it have become one class; where classes stay many, ``rare`` grows."""
+    num, den = similarity
+
+    def prefix(size, left):
+        """Length of the prefix of a set, ``left`` of whose shingles go on."""
+        return (size - F.ceil(size * num / den) + 1 - size + left).cast("int")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            held = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column("set")]
+            counts = np.array([len(x) for x in held], dtype=np.int64)
+            if len(held):
+                yield pa.RecordBatch.from_arrays([part.column("node"), list_array(np.concatenate(held), counts)], ["class", "items"])
+
+    classes = sets.mapInArrow(split, "class long, items array<bigint>")
+    members = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"), F.col("node").alias("class"))
+    found = []
+    n_classes = sets.count()
+    while n_classes > 1:
+        heads = written(members.groupBy("class").agg(F.min(F.struct("size", "node")).alias("head"), F.count("*").alias("n")), "crowd-heads")
+        held = classes.select("class", F.explode("items").alias("item"))
+        counts = written(held.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "crowd-counts")
+        ordered = held.join(counts, "item", "left").groupBy("class").agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("items"))
+        ordered = ordered.join(heads, "class").withColumn("first", F.slice("items", 1, F.greatest(F.lit(0), prefix(F.col("head.size"), F.size("items")))))
+        ordered = written(ordered.select(
+            "class", "head", F.transform(F.filter("first", lambda s: s["df"].between(2, rare)), lambda s: s["item"]).alias("probes"),
+            F.when(F.exists("first", lambda s: s["df"] > rare),
+                   F.array_sort(F.transform(F.filter("items", lambda s: s["df"] > rare), lambda s: s["item"]))).alias("rest")), "crowd-sets")
+        # at most ``rare`` classes a shingle
+        met = ordered.select(F.explode("probes").alias("item"), F.struct("class", "head").alias("s")) \
+            .groupBy("item").agg(F.collect_list("s").alias("s")).where("size(s) > 1") \
+            .select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y"))
+        met = met.where((F.col("x.class") != F.col("y.class")) & (F.least("x.head.size", "y.head.size") * den >= F.greatest("x.head.size", "y.head.size") * num)) \
+            .groupBy(F.col("x.class").alias("class"), F.col("y.head.node").alias("b")).agg(F.count("*").alias("est"))
+        met = written(met, "crowd-met")
+        own = heads.where("n > 1").select("class", F.col("head.node").alias("b"), F.lit(0).cast("long").alias("est"))
+        ends = members.join(met.unionByName(own), "class").where("node <> b")
+        found.append(written(ends.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "est"), "crowd-pairs"))
+        # sets that may share frequent shingles only go on with these
+        named = ordered.where("rest is not null").select("class", "rest", F.struct(
+            F.xxhash64("rest").alias("h"), F.xxhash64(F.lit(1), "rest").alias("i"), F.size("rest").alias("left")).alias("key"))
+        named = written(named, "crowd-rest")
+        same = written(named.groupBy("key").agg(F.min("class").alias("new")), "crowd-classes")
+        classes = named.join(same, F.col("class") == F.col("new"), "left_semi").select("class", F.col("rest").alias("items"))
+        members = members.join(named.select("class", "key"), "class").join(same, "key") \
+            .where(prefix(F.col("size"), F.col("key.left")) > 0).select("node", "size", F.col("new").alias("class"))
+        members = written(members, "crowd-members")
+        before, n_classes = n_classes, same.count()
+        if n_classes == 1:
+            # what shares all frequent shingles only has its smallest to meet
+            head = members.agg(F.min(F.struct("size", "node")).alias("head"))
+            found.append(members.crossJoin(F.broadcast(head)).where("node <> head.node").select(
+                F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"), F.lit(0).cast("long").alias("est")))
+        elif 2 * n_classes > before:
+            rare *= 8
+    if not found:
+        return sets.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("est")).limit(0)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs.groupBy("a", "b").agg(F.max("est").cast("double").alias("est"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b) of the pairs whose full sets are similar enough."""
     num, den = similarity
@@ -232,13 +325,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = written(sketches.where("set_id is not null").groupBy("set_id").agg(
         F.min("row").alias("node"), F.min_by(F.struct("doc_id", "digest", "sig"), "row").alias("of"))
         .select("set_id", "node", "of.doc_id", "of.digest", "of.sig"), "forest-nodes")
-    alone = nodes.select("node", F.col("node").alias("component"), "sig")
-    met = written(_neighbours(alone, 0, ORDERS, DEPTH), "forest-pairs")
+    met = written(_neighbours(nodes), "forest-pairs")
     pairs = met.where("b is not null")
 
-    def set_table(of: DataFrame) -> DataFrame:
-        """Full sets of the nodes that occur in some pairs."""
-        ends = of.select(F.col("a").alias("node")).unionByName(of.select(F.col("b").alias("node"))).distinct()
+    def set_table(ends: DataFrame) -> DataFrame:
+        """Full sets of some nodes."""
         wanted = nodes.join(ends, "node").select("node", F.col("doc_id").alias("w_id"), F.col("digest").alias("w_digest"))
         same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))
         texts = rows.join(wanted, same)
@@ -256,28 +347,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links: DataFrame | None = None
     labels: DataFrame | None = None
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(pairs: DataFrame, sets: DataFrame | None = None) -> None:
         """Look at candidates until none is left between two components."""
         nonlocal links, labels
-        sets = bound = None
+        bound, batch = None, 0
         while True:
             open_ = written(_labelled(pairs, labels), "forest-open")
             n = open_.count()
             if not n:
                 return
             if sets is None:
-                sets = set_table(open_)
-                bound = sets.count()
+                sets = set_table(open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct())
+            bound = bound or sets.count()
             if few := n <= SHIPPED * bound:
                 chosen = open_.select("a", "b")
             else:
-                # the likeliest of each component; the rest may be joined by then
+                # the likeliest of each component; the rest may be joined by then, and
+                # where links are few, ever more of the rest
                 best = F.struct(F.col("est").alias("e"), F.xxhash64("a", "b").alias("h"), "a", "b")
                 sides = open_.select(F.explode(F.array("ca", "cb")).alias("c"), best.alias("p"))
                 tops = sides.groupBy("c").agg(F.max("p").alias("p"), F.max_by("p", "p.h").alias("q"))
-                chosen = written(tops.select(F.explode(F.array("p", "q")).alias("x")).select("x.a", "x.b").distinct(), "forest-chosen")
+                some = tops.select(F.explode(F.array("p", "q")).alias("x")).select("x.a", "x.b")
+                if batch:
+                    some = some.unionByName(open_.where(F.pmod(F.xxhash64("b", "a"), F.lit(n)) < min(batch, SHIPPED * bound)).select("a", "b"))
+                chosen = written(some.distinct(), "forest-chosen")
             fresh = written(_verified(chosen, sets, similarity), "forest-links")
-            if fresh.limit(1).count():
+            n_fresh = fresh.count()
+            if not few and 4 * n_fresh < chosen.count():
+                batch = 2 * batch or bound
+            if n_fresh:
                 links = fresh if links is None else links.unionByName(fresh)
                 labels = written(components(links), "forest-labels")
             if few:
@@ -286,15 +384,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     settle(pairs)
     crowded = met.where("b is null").select(F.col("a").alias("node"))
+    named = nodes.join(crowded, "node").select("node", "sig")
     if labels is not None:
-        named = nodes.join(crowded, "node").join(labels, "node", "left") \
-            .select("node", F.coalesce("component", "node").alias("component"), "sig")
+        named = named.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "sig")
     else:
-        named = nodes.join(crowded, "node").select("node", F.col("node").alias("component"), "sig")
+        named = named.withColumn("component", F.col("node"))
     # only regions of several components are still open
-    if named.select("component").distinct().limit(2).count() > 1:
-        more = written(_neighbours(named, ORDERS, ORDERS + MORE_ORDERS, MORE_DEPTH), "forest-more").where("b is not null")
-        settle(more)
+    left_over = written(_still_open(named), "forest-crowd")
+    if left_over.limit(1).count():
+        sets = set_table(left_over)
+        settle(written(crowd_pairs(sets, similarity), "forest-more"), sets)
 
     of_set = nodes.select("set_id", "node")
     placed = sketches.join(of_set, "set_id", "left")

@@ -56,6 +56,36 @@ def test_near_duplicates_match_brute_force(spark, odd_rows, none):
     assert lsh_forest.near_duplicates(none).count() == 0
 
 
+def test_links_inside_a_crowd_are_found(spark):
+    """Texts of one template, 15 words of their own each: similarity 56 / 86."""
+    def text(t, k, shared=()):
+        return " ".join([f"{t}{i}" for i in range(60)] + list(shared) + [f"{t}w{k}x{i}" for i in range(15 - len(shared))])
+
+    rows = [(k, text("t", k), "a") for k in range(20500)]
+    rows[700] = (700, text("t", 700, [f"pair{i}" for i in range(6)]), "a")       # with the next: 62 / 80
+    rows[20300] = (20300, text("t", 20300, [f"pair{i}" for i in range(6)]), "a")
+    # the bare template is similar to each text of its crowd, 56 / 71, which are not to one another
+    rows += [(30000 + k, text("u", k), "a") for k in range(1500)] + [(40000, " ".join(f"u{i}" for i in range(60)), "a")]
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(frame(spark, rows)).collect()}
+    expected = {i: 700 if i == 20300 else min(i, 30000) for i, _, _ in rows}
+    assert len(got) == len(rows) and {i: c for i, c in got.items() if c != expected[i]} == {}
+
+
+def test_crowd_pairs_match_brute_force(spark):
+    rng = random.Random(5)
+    sets = []
+    for k in range(260):        # parts of a few templates and shingles of few or one
+        template = range(1000 * (k % 4), 1000 * (k % 4) + 40)
+        own = [100000 + rng.randrange(60) for _ in range(rng.randrange(8))] + [200000 + 100 * k + i for i in range(rng.randrange(12))]
+        sets.append(np.unique(np.array([x for x in template if rng.random() > rng.choice([0, 0, 0.06])] + own, dtype="<i8")))
+    as_sets = [set(x.tolist()) for x in sets]
+    linked = [(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(as_sets[a] & as_sets[b]) >= 75 * len(as_sets[a] | as_sets[b])]
+    frame_ = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, set binary")
+    for rare in (2, 8, 32, 1000):
+        pairs = {(r.a, r.b) for r in lsh_forest.crowd_pairs(frame_, (75, 100), rare).collect()}
+        assert closed(range(len(sets)), pairs & set(linked)) == closed(range(len(sets)), linked)
+
+
 @pytest.mark.parametrize("share", [250_000, 100])
 def test_components(spark, share, monkeypatch):
     monkeypatch.setattr("tessera.llm.components.SHARE", share)
