@@ -25,19 +25,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id, and of
-    repeated rows of that id one.  What goes back to the texts is the list of
-    rows to drop or to thin out, which is empty for most documents."""
+    """One document of each group: the one with the smallest id (a null id
+    after all others) and digest, and of repeated rows of that id and text one.
+    What goes back to the texts is the list of rows to drop or to thin out,
+    which is empty for most documents."""
     ship(spark)
     found = lsh_forest.near_duplicates(docs)
-    # rows of one id and text are one row more often than needed; ids alone decide the rest
-    per_key = found.groupBy("doc_id", "digest").agg(F.min("component_id").alias("component_id"), F.count("*").alias("drop_n"))
-    per_group = per_key.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("component_id").isNotNull())) \
-        .groupBy("component_id").agg(F.min("digest").alias("first"))
+    # rows of one id and text are one row more often than needed; those without shingles have a group each
+    per_key = found.groupBy("doc_id", "digest").agg(F.min("group").alias("group"), F.count("*").alias("drop_n"))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    per_group = per_key.groupBy("group").agg(F.min(place).alias("first"))
     per_group = written(per_group, "groups")    # a side of its own, so that a large group can be split in the join
-    judged = per_key.alias("k").join(per_group.alias("g"), F.col("k.component_id") == F.col("g.component_id"), "left").select(
-        F.col("k.doc_id").alias("drop_id"), F.col("k.digest").alias("drop_digest"), "drop_n",
-        (F.col("g.first").isNull() | (F.col("k.doc_id").eqNullSafe(F.col("g.component_id")) & (F.col("k.digest") == F.col("g.first")))).alias("drop_stays"))
+    judged = per_key.join(per_group, "group").select(
+        F.col("doc_id").alias("drop_id"), F.col("digest").alias("drop_digest"), "drop_n",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("drop_stays"))
     drop = judged.where(~F.col("drop_stays") | (F.col("drop_n") > 1))
     keyed = docs.withColumn("drop_text", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     same = F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("drop_text") == F.col("drop_digest"))

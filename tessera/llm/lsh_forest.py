@@ -317,7 +317,8 @@ def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, digest (md5 of the text), n_shingles,
-    component_id (smallest doc_id that links reach), kept (it is that one)."""
+    component_id (smallest doc_id that links reach), kept (it is that one),
+    and group, the component itself, whatever its ids are."""
     rows = text_rows(docs, id_col, text_col).withColumn("digest", F.md5("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sketches = written(_sketched(rows, id_type).withColumn("row", F.monotonically_increasing_id()), "forest-sketches")
@@ -404,4 +405,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = written(placed.select("doc_id", "digest", "n_shingles", "c"), "forest-placed")
     least = written(placed.groupBy("c").agg(F.min("doc_id").alias("component_id")), "forest-least")
     return placed.join(least, "c").select("doc_id", "digest", "n_shingles", "component_id",
-                                          F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                                          F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+                                          F.col("c").alias("group"))

@@ -82,7 +82,7 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op8_lsh_forest")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    return lsh_forest.near_duplicates(table(spark, sf, "documents")).drop("digest")
+    return lsh_forest.near_duplicates(table(spark, sf, "documents")).drop("digest", "group")
 
 
 @register("op9_decontamination")
