@@ -74,7 +74,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op7_sentence_spans")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
-    found = sentence_spans.repeated_sentences(table(spark, sf, "documents"))
+    found = sentence_spans.repeated_sentences(table(spark, sf, "documents"), both_ends=True)
     covered = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     places = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_sentences", covered.alias("n_removed"), places.alias("removed"), "first_docs")

@@ -1,8 +1,9 @@
 """Substring dedup (7): repeated runs of consecutive sentences.
 
 From every sentence on, the shortest run with several sentences and at least
-``MIN_WORDS`` words is hashed (one sentence alone if it has ``ALONE_WORDS``).
-Equal runs anywhere in the corpus meet by hash; all but the first, in order of
+``MIN_WORDS`` words is hashed (one sentence alone if it has ``ALONE_WORDS``),
+and with ``both_ends``, as in the query, the shortest such run that ends with
+every sentence, so that both ends of a repeated passage are covered.  Equal runs anywhere in the corpus meet by hash; all but the first, in order of
 document id and place, are repeated, and the sentences that any of them covers
 are removed.  Hashes have 128 bits.  Counting is a partial aggregate and only
 hashes that occur again are joined back, so a passage which a third of the
@@ -46,25 +47,34 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def runs(parts: list[list[bytes]]) -> list[tuple[int, int, bytes]]:
-    """(start, end, hash) of the run from each sentence that begins one."""
+def shortest(sizes: list[int]) -> list[tuple[int, int]]:
+    """(start, end) of the shortest run from each sentence that begins one."""
     out, end, n = [], 0, 0
-    sizes = [len(p) for p in parts]
-    joined = [b" ".join(p) for p in parts]
-    for start in range(len(parts)):
+    for start in range(len(sizes)):
         if end <= start:
             end, n = start, 0
-        while end < len(parts) and not (n >= MIN_WORDS and end - start >= SEVERAL or n >= ALONE_WORDS):
+        while end < len(sizes) and not (n >= MIN_WORDS and end - start >= SEVERAL or n >= ALONE_WORDS):
             n += sizes[end]
             end += 1
         if not (n >= MIN_WORDS and end - start >= SEVERAL or n >= ALONE_WORDS):
             break
-        out.append((start, end, xxhash.xxh3_128_digest(b"\n".join(joined[start:end]))))
+        out.append((start, end))
         n -= sizes[start]
     return out
 
 
-def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def runs(parts: list[list[bytes]], both_ends: bool = True) -> list[tuple[int, int, bytes]]:
+    """(start, end, hash) of the shortest runs from each sentence that begins
+    one and, with ``both_ends``, to each sentence that ends one."""
+    sizes = [len(p) for p in parts]
+    joined = [b" ".join(p) for p in parts]
+    places = set(shortest(sizes))
+    if both_ends:
+        places.update((len(parts) - e, len(parts) - s) for s, e in shortest(sizes[::-1]))
+    return [(s, e, xxhash.xxh3_128_digest(b"\n".join(joined[s:e]))) for s, e in sorted(places)]
+
+
+def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", both_ends: bool = False) -> DataFrame:
     """One row per document: doc_id, digest (md5 of the text), n_sentences,
     removed (covered sentences as arrays of start and end, in sentences,
     disjoint and ordered) and first_docs (documents with the first copies)."""
@@ -76,21 +86,22 @@ def repeated_sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for text in part.column("text").to_pylist():
                 parts = [text[a:b].encode().translate(_LOWER).split() for a, b in sentences(text)]
                 n.append(len(parts))
-                found.append(runs(parts))
+                found.append(runs(parts, both_ends))
             counts = np.array([len(f) for f in found])
+            starts = np.array([s for f in found for s, _, _ in f], dtype=np.int32)
             ends = np.array([e for f in found for _, e, _ in f], dtype=np.int32)
             hashes = pa.array([h for f in found for _, _, h in f], pa.binary())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("digest"), pa.array(n, pa.int64()), list_array(ends, counts),
-                 pa.ListArray.from_arrays(offsets, hashes)], ["doc_id", "digest", "n_sentences", "ends", "hashes"])
+                [part.column("doc_id"), part.column("digest"), pa.array(n, pa.int64()), list_array(starts, counts), list_array(ends, counts),
+                 pa.ListArray.from_arrays(offsets, hashes)], ["doc_id", "digest", "n_sentences", "starts", "ends", "hashes"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     read = written(rows.withColumn("digest", F.md5("text")).mapInArrow(
-        run, f"doc_id {id_type}, digest string, n_sentences long, ends array<int>, hashes array<binary>")
+        run, f"doc_id {id_type}, digest string, n_sentences long, starts array<int>, ends array<int>, hashes array<binary>")
         .withColumn("row", F.monotonically_increasing_id()), "spans-read")
-    spans = read.select("row", "doc_id", F.posexplode(F.arrays_zip("hashes", "ends")).alias("start", "s")) \
-        .select("row", "doc_id", "start", F.col("s.ends").alias("end"), F.col("s.hashes").alias("hash"))
+    spans = read.select("row", "doc_id", F.explode(F.arrays_zip("hashes", "starts", "ends")).alias("s")) \
+        .select("row", "doc_id", F.col("s.starts").alias("start"), F.col("s.ends").alias("end"), F.col("s.hashes").alias("hash"))
     first = spans.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("first")) \
         .where("n > 1").select("hash", "first")
     first = written(first, "spans-first")       # a side of its own, so that a hot hash can be split in the join
@@ -129,7 +140,7 @@ def without_sentences(text: str, removed: list[tuple[int, int]]) -> str:
 def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every document without its repeated sentences.  Rows
     of equal id and text differ only in which of them is the first."""
-    found = repeated_sentences(docs, id_col=id_col, text_col=text_col) \
+    found = repeated_sentences(docs, id_col=id_col, text_col=text_col, both_ends=True) \
         .groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list("removed")).alias("each"))
     rows = text_rows(docs, id_col, text_col).withColumn("digest", F.md5("text"))
 
