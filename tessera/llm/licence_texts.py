@@ -46,6 +46,32 @@ TEXTS = {
     "Zlib": ZLIB,
 }
 
+_BSD_CLAUSES = ["""Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer.""", """Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+                """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission."""]
+
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE,
+EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _bsd(clauses: int, mark: str) -> str:
+    listed = [f"{mark.format(k + 1)} {c}" for k, c in enumerate(_BSD_CLAUSES[:clauses])]
+    return "\n\n".join(["""Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:""", *listed, _BSD_WARRANTY])
+
+
+# Whole texts which are looked up without regard to their line breaks, besides TEXTS: (identifier, title, text).
+MORE_TEXTS = [(f"BSD-{n}-Clause", f"BSD {n}-Clause License", _bsd(n, mark)) for n in (2, 3) for mark in ("{}.", "*")]
+MORE_TEXTS += [("0BSD", "Zero-Clause BSD", TEXTS["0BSD"]), ("0BSD", "BSD Zero Clause License", TEXTS["0BSD"]),
+               ("MIT", "The MIT License", MIT), ("MIT", "The MIT License (MIT)", MIT), ("Zlib", "zlib License", ZLIB)]
+
 # Names in notices, by SPDX identifier.
 NAMES = {
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0"],
