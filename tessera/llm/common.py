@@ -93,3 +93,10 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Arrow list array from flat values and the number of each row."""
     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def word_table(kept: bytes) -> bytes:
+    """Table for ``bytes.translate``: A-Z in lower case, bytes beyond ASCII and
+    those of ``kept`` as they are, blanks for all others; ``split`` then yields
+    the words of a text in UTF-8."""
+    return bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in kept else 32 for c in range(256))

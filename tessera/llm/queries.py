@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, grid_join, licenses, line_crf, lsh_forest, mixing, secrets, sentence_spans, token_files
+from . import (bpe, decontaminate, divergence, grid_join, licenses, line_crf, lsh_forest, mixing, resample, secrets, sentence_spans,
+               suffix_spans, token_files)
 from .common import held_out, ship, table
 
 QUERIES: dict = {}
@@ -99,3 +100,22 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     scored = line_crf.score_quality(docs, line_crf.train(docs, table(spark, sf, "labels")))
     return scored.select("doc_id", held_out("doc_id", line_crf.MODULUS).alias("held_out"), "score",
                          (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register("op11_source_divergence", divergence.ORACLE_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf, "documents"))
+
+
+@register("op12_importance_draw", resample.ORACLE_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op13_suffix_spans")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_spans.remove_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
