@@ -17,13 +17,11 @@ def _bm(tf, dl, avgdl):
     return f"({tf} * {K1 + 1} / ({tf} + {K1} * (1 - {B} + {B} * {dl} / {avgdl})))"
 
 
-def fulltext_sql(first_cut: int = 50, top_k: int = 5) -> str:
+def indexed_docs_sql() -> str:
+    """CTEs up to docs(repo, path, tokens): header and content of each file."""
     line_fields = fields(strip_ws("line"))
     tw = trim_word("w", "#")
-    return f"""
-WITH corpus AS ({CORPUS_DOCUMENTS}),
-qs AS (SELECT item_id AS query_id, text FROM benchmark),
-lines_k AS (
+    return f"""lines_k AS (
   SELECT repo, path, unnest(string_split(content, chr(10))) AS line,
          generate_subscripts(string_split(content, chr(10)), 1) AS ln
   FROM corpus),
@@ -40,7 +38,26 @@ hdr AS (
 docs AS (
   SELECT c.repo, c.path,
          {tokenize("coalesce(h.header, '__SUMMARY__: __END__' || chr(10)) || c.content")} AS tokens
-  FROM corpus c LEFT JOIN hdr h ON h.repo = c.repo AND h.path = c.path),
+  FROM corpus c LEFT JOIN hdr h ON h.repo = c.repo AND h.path = c.path)"""
+
+
+def index_sql() -> str:
+    """What the stored index holds, by repository."""
+    return f"""
+WITH corpus AS ({CORPUS_DOCUMENTS}),
+{indexed_docs_sql()},
+t AS (SELECT repo, path, unnest(tokens) AS term FROM docs),
+w AS (SELECT repo, count(DISTINCT term) AS n_terms, count(DISTINCT (path, term)) AS n_postings, count(*) AS n_positions FROM t GROUP BY repo)
+SELECT d.repo, count(*) AS n_files, CAST(sum(len(tokens)) AS BIGINT) AS total_length, any_value(n_terms) AS n_terms,
+       any_value(n_postings) AS n_postings, any_value(n_positions) AS n_positions
+FROM docs d JOIN w USING (repo) GROUP BY d.repo"""
+
+
+def fulltext_sql(first_cut: int = 50, top_k: int = 5) -> str:
+    return f"""
+WITH corpus AS ({CORPUS_DOCUMENTS}),
+qs AS (SELECT item_id AS query_id, text FROM benchmark),
+{indexed_docs_sql()},
 stats AS (SELECT repo, count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM docs GROUP BY repo),
 qwl AS (SELECT query_id, {fulltext_words('text')} AS words FROM qs),
 qtl AS (

@@ -50,7 +50,7 @@ FROM k"""
 @register("c08_compress_fulltext", compress_sql)
 def q_c08(spark, sf):
     qs = T.queries_from_benchmark(spark, sf)
-    res = fulltext_search(T.corpus_from_documents(spark, sf), qs)
+    res = fulltext_search(T.corpus_from_documents(spark, sf), qs, index=T.documents_index(spark, sf))
     # same cross-repository order as the oracle (scores compared at 6 places)
     w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.round("bm25", 6).desc(), "file", "repo")
     top = (res.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 10)

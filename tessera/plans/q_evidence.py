@@ -49,7 +49,7 @@ def q_e01(spark, sf):
     corpus = T.corpus_from_documents(spark, sf)
     qs = T.queries_from_benchmark(spark, sf)
     truth = E.passage_ground_truth(corpus, qs)
-    res = fulltext_search(corpus, qs)
+    res = fulltext_search(corpus, qs, index=T.documents_index(spark, sf))
     return round_doubles(E.retrieval_evidence(res, truth))
 
 

@@ -63,7 +63,8 @@ FROM f""", ["precision", "efficiency"])
 def q_c01(spark, sf):
     """Full-text top-5 per (query, repo) packed into a 300-token budget
     per query (rows-only in the driver; exact in pytest)."""
-    res = fulltext_search(T.corpus_from_documents(spark, sf), T.queries_from_benchmark(spark, sf))
+    res = fulltext_search(T.corpus_from_documents(spark, sf), T.queries_from_benchmark(spark, sf),
+                          index=T.documents_index(spark, sf))
     ranked = res.select(F.concat_ws(":", F.col("query_id").cast("string"), "repo").alias("query_id"),
                         "rank", "file", "score", "tokens")
     return round_doubles(Cx.greedy_pack(ranked, budget=300))

@@ -4,12 +4,13 @@ selection and filters reach the Parquet scan."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import ensure_checkpoint_dir, spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -127,3 +128,13 @@ def retrieval_benchmarks_from_events(spark: SparkSession, sf_dir: str) -> DataFr
         F.col("value"),
         F.col("ts").alias("timestamp"),
     )
+
+
+def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored full-text postings of the documents corpus: built on the first
+    call, brought up to date by file hashes on later ones.  It lies in the
+    shared checkpoint folder, under a name made of the tables' path."""
+    from ..operators.textindex import stored_postings, update_index
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fulltext-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    update_index(corpus_from_documents(spark, sf_dir), path)
+    return stored_postings(spark, path)
