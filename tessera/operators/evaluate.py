@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast, cut_lineage
+from .substring import containing
 
 # FIXED VALUES: research-score weights (E03) and the $ price per million
 # tokens used for cost efficiency.
@@ -166,25 +167,26 @@ def improvement_ranking(items: DataFrame, k: int = 5) -> DataFrame:
 
 def passage_ground_truth(corpus: DataFrame, passages: DataFrame) -> DataFrame:
     """S22/J11 ground truth: the files whose content contains each passage
-    verbatim.  Exact and join-keyed: an interior word of the passage (its
-    longest one) must occur in the file as a whole whitespace token, so
-    files are probed by that token (equi-join) and verified with
-    ``contains``; passages with fewer than three words are matched by a
-    broadcast ``contains`` join on their own (small) set."""
+    verbatim.  Files are probed by a word of the passage (equi-join) and
+    verified with ``contains``: its longest interior word, which stands alone
+    between white space wherever the passage occurs, or, in a passage of one or
+    two words, every word of the files that holds its longest one.  A blank
+    passage has no files."""
     words = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
-    interior = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-    key = F.aggregate(interior, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    p = bounded_broadcast(passages.select("query_id", "text", F.when(F.size(words) >= 3, key).alias("key")))
-    toks = corpus.select("repo", "path", F.explode(F.array_distinct(F.split("content", r"\s+", -1))).alias("key"))
-    asked = p.where(F.col("key").isNotNull()).select("query_id", "key", F.col("text").alias("t"))
-    # only keys meet; the text comes back for the files that hold one
-    files = bounded_broadcast(cut_lineage(toks.join(asked, "key").select("query_id", "t", "repo", "path")))
-    keyed = corpus.select("repo", "path", "content").join(files, ["repo", "path"]) \
-        .where(F.col("content").contains(F.col("t"))).select("query_id", "repo", "path")
-    short = p.where(F.col("key").isNull()).select("query_id", F.col("text").alias("t"))
-    loose = (corpus.join(short, F.col("content").contains(F.col("t")))
-             .select("query_id", "repo", "path"))
-    return keyed.unionByName(loose).distinct()
+    n = F.size(words)
+    inner = F.when(n >= 3, F.slice(words, 2, F.greatest(n - 2, F.lit(0)))).otherwise(words)
+    key = F.aggregate(inner, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
+    p = cut_lineage(passages.select("query_id", F.col("text").alias("t"), key.alias("key"), (n >= 3).alias("alone")).where("key <> ''"))
+    toks = corpus.select("repo", "path", F.explode(F.array_distinct(F.split("content", r"\s+", -1))).alias("tok"))
+    asked = p.where("alone").select("query_id", "t", F.col("key").alias("tok"))
+    short = p.where("not alone").select("query_id", "t", "key")
+    if not short.isEmpty():
+        held = containing(toks.select("tok"), short.select("key"))
+        asked = asked.unionByName(short.join(held, F.col("key") == F.col("sought")).select("query_id", "t", F.col("string").alias("tok")))
+    # only words meet; the text comes back for the files that hold one
+    files = bounded_broadcast(cut_lineage(toks.join(bounded_broadcast(asked), "tok").select("query_id", "t", "repo", "path").distinct()))
+    return corpus.select("repo", "path", "content").join(files, ["repo", "path"]) \
+        .where(F.col("content").contains(F.col("t"))).select("query_id", "repo", "path").distinct()
 
 
 def retrieval_evidence(results: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
