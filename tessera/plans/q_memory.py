@@ -25,7 +25,8 @@ KLOG = """log AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS key,
   props AS value, value AS confidence FROM events)"""
 
 
-@register("m02_knowledge_state", lambda: sql_round(f"""
+def knowledge_state_sql():
+    return sql_round(f"""
 WITH {KLOG},
 latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, ord DESC) AS rn
                           FROM log WHERE kind = 'store') WHERE rn = 1),
@@ -33,7 +34,10 @@ hits AS (SELECT l.key, count(*) AS hits, max(l.ts) AS last_hit FROM log l JOIN l
          ON l.key = s.key AND l.kind = 'lookup' AND (l.ts > s.ts OR (l.ts = s.ts AND l.ord > s.ord)) GROUP BY l.key)
 SELECT s.key, s.value, s.confidence, s.ts AS created_at, coalesce(h.last_hit, s.ts) AS last_used_at,
        1 + coalesce(h.hits, 0) AS hit_count
-FROM latest s LEFT JOIN hits h ON h.key = s.key""", ["confidence"]))
+FROM latest s LEFT JOIN hits h ON h.key = s.key""", ["confidence"])
+
+
+@register("m02_knowledge_state", knowledge_state_sql)
 def q_m02(spark, sf):
     return round_doubles(M.knowledge_state(_knowledge_log(spark, sf)))
 

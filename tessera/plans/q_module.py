@@ -1,12 +1,15 @@
-"""Catalog entry: module summaries (X14) and module search."""
+"""Catalog entries: module summaries (X14, S16, S17) and module search."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import topic_rules as TR
-from ..operators.module import module_search, module_summaries
+from ..operators.module import module_search, module_summaries, stored_summaries, update_summaries
 from ..oracle.sqltext import CORPUS_DOCUMENTS, fields, q
+from ..session import ensure_checkpoint_dir
 from ..sources import tables as T
 from .catalog import register
 from .q_classify import OWN_QUESTIONS
@@ -27,7 +30,8 @@ def _values(rows, cols):
     return f"(VALUES {body}) AS v({', '.join(cols)})"
 
 
-def module_sql():
+def _module_parts():
+    """SQL up to the topics of each module, and the search behind it."""
     tmap = [(k, t.lower()) for k, v in TR.TOPIC_MAP.items() for t in v]
     trig = [(k, t.lower()) for keys, ts in TR.TOPIC_TRIGGERS for k in keys for t in ts]
     expn = [(k.lower(), t.lower()) for k, v in TR.TOPIC_EXPANSION.items() for t in v]
@@ -39,7 +43,7 @@ def module_sql():
     syn_cond = " OR ".join(f"(w = {q(p)} AND contains(combined, {q(r)})) OR (w = {q(r)} AND contains(combined, {q(p)}))"
                            for r, p in syn)
     rel = "(n = w OR contains(n, w) OR contains(w, n))"
-    return sql_round(f"""
+    return f"""
 WITH corpus AS ({CORPUS_DOCUMENTS}),
 words AS (SELECT repo, path, list_filter(list_transform({fields('content')}, lambda w: {cleaned}), lambda w: strlen(w) >= 2) AS ws,
                  list_filter(list_transform(string_split(content, chr(10)),
@@ -54,7 +58,7 @@ allw AS (SELECT repo, path, unnest(list_concat(classes, functions)) AS w FROM mo
          UNION ALL SELECT repo, path, lower(unnest(list_filter(regexp_extract_all(b, '\\p{{Lu}}?[^\\p{{Lu}}]*'), lambda x: x <> ''))) FROM pkw),
 base_t AS (SELECT DISTINCT a.repo, a.path, v.t FROM allw a JOIN {_values(tmap, ['k', 't'])} ON lower(a.w) = v.k
            UNION SELECT DISTINCT a.repo, a.path, v.t FROM allw a JOIN {_values(trig, ['k', 't'])} ON contains(lower(a.w), v.k)),
-topics AS (SELECT repo, path, t FROM base_t UNION SELECT b.repo, b.path, v.t FROM base_t b JOIN {_values(expn, ['k', 't'])} ON b.t = v.k),
+topics AS (SELECT repo, path, t FROM base_t UNION SELECT b.repo, b.path, v.t FROM base_t b JOIN {_values(expn, ['k', 't'])} ON b.t = v.k)""", f""",
 mods AS (SELECT m.repo, m.path, m.classes, m.functions, coalesce(tl.topics, []) AS topics,
                 lower(regexp_replace(string_split(m.path, '/')[-1], '\\.[^.]*$', '')) || ' ' ||
                 coalesce(nullif(lower(regexp_extract(m.path, '^(.*)/[^/]*$', 1)), ''), '.') AS combined,
@@ -92,7 +96,34 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, repo, path AS file, score, topic
             WHEN max(score) OVER (PARTITION BY query_id) >= 0.80 THEN 0.95 WHEN max(score) OVER (PARTITION BY query_id) >= 0.50 THEN 0.80
             WHEN max(score) OVER (PARTITION BY query_id) >= 0.30 THEN 0.65 ELSE 0.45 END AS DOUBLE) AS confidence,
        'architecture' AS retriever
-FROM top""", ["score", "topic_score", "symbol_score", "filename_score", "import_score", "description_score", "confidence"])
+FROM top"""
+
+
+def module_sql():
+    return sql_round("".join(_module_parts()), ["score", "topic_score", "symbol_score", "filename_score", "import_score",
+                                                "description_score", "confidence"])
+
+
+def summaries_sql():
+    return _module_parts()[0] + """,
+tl AS (SELECT repo, path, array_to_string(list_sort(list(t)), '|') AS topics FROM topics GROUP BY repo, path)
+SELECT m.repo, m.path AS file_path, array_to_string(list_sort(m.classes), '|') AS classes,
+       array_to_string(list_sort(m.functions), '|') AS functions, coalesce(tl.topics, '') AS topics, sha256(c.content) AS content_hash
+FROM mods0 m JOIN corpus c ON c.repo = m.repo AND c.path = m.path LEFT JOIN tl ON tl.repo = m.repo AND tl.path = m.path"""
+
+
+@register("s16_module_summaries", summaries_sql)
+def q_s16(spark, sf):
+    """Stored module summaries, brought from an older corpus to the present
+    one and read back (S16, S17, S19)."""
+    now = T.corpus_from_documents(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/summaries-{uuid.uuid4().hex}"
+    kind = F.col("doc_id") % 50
+    older = F.when(kind == 1, F.concat(F.lit("Older text "), "content")).otherwise(F.col("content"))
+    update_summaries(now.where(kind != 0).select("repo", "path", older.alias("content")), path)
+    update_summaries(now, path)
+    lists = [F.array_join(F.array_sort(c), "|").alias(c) for c in ("classes", "functions", "topics")]
+    return stored_summaries(spark, path).select("repo", "file_path", *lists, "content_hash")
 
 
 @register("r16_module_search", module_sql)

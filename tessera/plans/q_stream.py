@@ -3,12 +3,18 @@ batch form of the streaming operators (stream == batch is tested)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..session import ensure_checkpoint_dir
 from ..sources import tables as T
 from ..streaming import changefeed as S
+from ..streaming import knowledge as K
 from .catalog import register
+from .q_memory import _knowledge_log, knowledge_state_sql
+from .util import round_doubles
 
 
 def change_feed(spark, sf):
@@ -53,3 +59,25 @@ def q_g01(spark, sf):
                      F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.lit(0).alias("seed_ord"))
     tr = flow_trace(seeds, edges)
     return tr.join(tr.groupBy("query_id").agg(flow_confidence(F.count(F.lit(1))).alias("confidence")), "query_id")
+
+
+PARTS = 3
+
+
+@register("i06_streaming_knowledge", knowledge_state_sql)
+def q_i06(spark, sf):
+    """Knowledge after a stream of all events: they come in parts, some of
+    them up to forty minutes late, and the stream runs after each part."""
+    log = _knowledge_log(spark, sf).withColumn("type", F.lit("user"))
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("ord") % 5 * 600_000_000
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knowledge-{uuid.uuid4().hex}"
+    cuts = log.agg(F.percentile_approx(late, [k / PARTS for k in range(1, PARTS)], 10_000).alias("c")).first().c or []
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = log if low is None else log.where(late > low)
+        part = part if high is None else part.where(late <= high)
+        part.write.mode("append").parquet(f"{base}/events")
+        K.run(spark.readStream.schema(log.schema).parquet(f"{base}/events"), f"{base}/state")
+    state = K.knowledge(spark, f"{base}/state").drop("type")
+    kind = log.schema["ts"].dataType
+    return round_doubles(state.withColumns({c: F.col(c).cast(kind) for c in ("created_at", "last_used_at")}))

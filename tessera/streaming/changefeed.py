@@ -112,6 +112,6 @@ def knowledge_upserts(batch: DataFrame, batch_id: int, target_path: str) -> None
     out = f"{target_path}/v{batch_id:08d}"
     prev = [v for v in folders_in(spark, target_path) if v.startswith("v") and v < f"v{batch_id:08d}"]
     if prev:
-        old = spark.read.parquet(f"{target_path}/{prev[-1]}")
-        latest = old.join(latest.select("type", "key"), ["type", "key"], "left_anti").unionByName(latest)
+        both = spark.read.parquet(f"{target_path}/{prev[-1]}").unionByName(latest)      # an older write that comes late stays behind
+        latest = both.groupBy("type", "key").agg(F.max_by(row, F.struct("ts", "ord")).alias("row")).select("row.*")
     latest.write.mode("overwrite").parquet(out)
