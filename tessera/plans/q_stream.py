@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as T
+from ..streaming import bursts as B
 from ..streaming import changefeed as S
 from ..streaming import knowledge as K
 from .catalog import register
@@ -24,14 +25,18 @@ def change_feed(spark, sf):
     return e.select(F.col("user_id").alias("repo"), F.concat_ws("/", "event_type", "props").alias("path"), "ts")
 
 
-@register("i03_change_bursts", lambda: """
+def bursts_sql():
+    return """
 WITH c AS (SELECT user_id AS repo, event_type || '/' || props AS path, ts FROM events),
 g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY repo ORDER BY ts) IS NULL
                       OR ts - lag(ts) OVER (PARTITION BY repo ORDER BY ts) >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS brk FROM c),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY repo ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM g)
 SELECT repo, min(ts) AS burst_start, max(ts) + INTERVAL 10 MINUTE AS burst_end, count(*) AS events,
        count(DISTINCT path) AS paths
-FROM s GROUP BY repo, sid""")
+FROM s GROUP BY repo, sid"""
+
+
+@register("i03_change_bursts", bursts_sql)
 def q_i03(spark, sf):
     return S.change_bursts(change_feed(spark, sf), gap="10 minutes")
 
@@ -64,20 +69,37 @@ def q_g01(spark, sf):
 PARTS = 3
 
 
-@register("i06_streaming_knowledge", knowledge_state_sql)
-def q_i06(spark, sf):
-    """Knowledge after a stream of all events: they come in parts, some of
-    them up to forty minutes late, and the stream runs after each part."""
-    log = _knowledge_log(spark, sf).withColumn("type", F.lit("user"))
-    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("ord") % 5 * 600_000_000
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/knowledge-{uuid.uuid4().hex}"
+def _in_parts(log, order, name, run):
+    """Let ``log`` come as a stream: in parts by time, rows of some ``order``
+    up to forty minutes late, with a run of the stream after each part.
+    Returns the folder of the state."""
+    spark = log.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    late = F.unix_micros(F.col("ts").cast("timestamp")) + F.col(order) % 5 * 600_000_000
     cuts = log.agg(F.percentile_approx(late, [k / PARTS for k in range(1, PARTS)], 10_000).alias("c")).first().c or []
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
         part = log if low is None else log.where(late > low)
         part = part if high is None else part.where(late <= high)
         part.write.mode("append").parquet(f"{base}/events")
-        K.run(spark.readStream.schema(log.schema).parquet(f"{base}/events"), f"{base}/state")
-    state = K.knowledge(spark, f"{base}/state").drop("type")
+        run(spark.readStream.schema(log.schema).parquet(f"{base}/events"), f"{base}/state")
+    return f"{base}/state"
+
+
+@register("i03_streaming_bursts", bursts_sql)
+def q_i03_stream(spark, sf):
+    """The bursts of the change feed as a stream finds them."""
+    e = T.read_table(spark, sf, "events").select("event_id", F.col("user_id").alias("repo"),
+                                                 F.concat_ws("/", "event_type", "props").alias("path"), "ts")
+    state = _in_parts(e, "event_id", "bursts", lambda feed, path: B.run(feed, path, gap="10 minutes", delay="1 hour"))
+    return B.bursts(spark, state, gap="10 minutes")
+
+
+@register("i06_streaming_knowledge", knowledge_state_sql)
+def q_i06(spark, sf):
+    """Knowledge after a stream of all events."""
+    log = _knowledge_log(spark, sf).withColumn("type", F.lit("user"))
+    path = _in_parts(log, "ord", "knowledge", K.run)
+    state = K.knowledge(spark, path).drop("type")
     kind = log.schema["ts"].dataType
     return round_doubles(state.withColumns({c: F.col(c).cast(kind) for c in ("created_at", "last_used_at")}))

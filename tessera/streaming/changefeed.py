@@ -19,18 +19,21 @@ def change_bursts(changes: DataFrame, gap: str = "1 second") -> DataFrame:
     """I03 debounce: one row per burst of change events per repo — a
     session that restarts on each event (quiet period ``gap``).
 
-    Streaming input uses Spark's watermarked ``session_window``.  Batch
-    input is split two-level so no window spans a whole repository: gaps
+    The feed is split two-level so no window spans a whole repository: gaps
     are found inside time buckets (60 gaps wide) and across bucket edges
     from one row per bucket; burst ids are a within-bucket running count
-    plus the count of earlier bursts from one row per bucket."""
-    if changes.isStreaming:
-        # watermarks need TIMESTAMP (not TIMESTAMP_NTZ) event time
-        src = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", WATERMARK)
-        return (src.groupBy("repo", F.session_window("ts", gap).alias("burst"))
-                .agg(F.count(F.lit(1)).alias("events"), F.approx_count_distinct("path").alias("paths"))
-                .select("repo", F.col("burst.start").alias("burst_start"), F.col("burst.end").alias("burst_end"),
-                        "events", "paths"))
+    plus the count of earlier bursts from one row per bucket.  A stream of
+    changes goes through ``bursts``, batch by batch."""
+    c = numbered_bursts(changes, gap)
+    g = c.groupBy("repo", "sid").agg(F.min("ts").alias("burst_start"), F.max("ts").alias("last_ts"),
+                                     F.count(F.lit(1)).alias("events"), F.countDistinct("path").alias("paths"))
+    return g.select("repo", "burst_start",
+                    (F.col("last_ts") + F.expr(f"INTERVAL {gap}")).alias("burst_end"), "events", "paths")
+
+
+def numbered_bursts(changes: DataFrame, gap: str) -> DataFrame:
+    """Change events (repo, path, ts) with ``sid``, the number of their burst
+    in the repository."""
     from pyspark.sql import Window
     gap_s = _seconds(gap)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -47,11 +50,8 @@ def change_bursts(changes: DataFrame, gap: str = "1 second") -> DataFrame:
     nb = c.groupBy("repo", "b").agg(F.sum("brk").alias("n_brk"))
     nb = nb.withColumn("before", F.coalesce(F.sum("n_brk").over(w_b.rowsBetween(Window.unboundedPreceding, -1)),
                                             F.lit(0)))
-    c = c.join(nb.select("repo", "b", "before"), ["repo", "b"]).withColumn("sid", F.col("before") + F.col("in_b"))
-    g = c.groupBy("repo", "sid").agg(F.min("ts").alias("burst_start"), F.max("ts").alias("last_ts"),
-                                     F.count(F.lit(1)).alias("events"), F.countDistinct("path").alias("paths"))
-    return g.select("repo", "burst_start",
-                    (F.col("last_ts") + F.expr(f"INTERVAL {gap}")).alias("burst_end"), "events", "paths")
+    return c.join(nb.select("repo", "b", "before"), ["repo", "b"]) \
+        .select("repo", "path", "ts", (F.col("before") + F.col("in_b")).alias("sid"))
 
 
 def _seconds(gap: str) -> int:
