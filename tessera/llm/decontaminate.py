@@ -9,8 +9,9 @@ the windows of a whole batch of texts with numpy, looks them up in the sorted
 hashes and compares the words of every hit, so a result is exact.
 
 Defined results: a null text has no words and no hit; an item without words
-has no window; equal windows of several items count for each of them;
-repeated documents give repeated rows; an empty benchmark hits nothing."""
+has no window; equal windows of several items count for each of them; items of
+one id are one item; an item without an id hits words and contaminates, but is
+not named; repeated documents give repeated rows; an empty benchmark hits nothing."""
 
 from __future__ import annotations
 
@@ -46,29 +47,35 @@ def window_hash(ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 class WindowIndex:
-    """The distinct windows of some items, by window length."""
+    """The windows of some items, by window length: sorted hashes, the place
+    of each window among the items' words, and the number of its item's name
+    (-1 without one).  A window that an item repeats is there once."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        self.names: list[str] = []
-        found: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        number: dict[str, int] = {}
+        flat, sizes, owners = [], [], []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
-            if not ids:
-                continue
-            item, length = len(self.names), min(window, len(ids))
-            self.names.append(name)
-            table = found.setdefault(length, {})
-            for key in {tuple(ids[i:i + length]) for i in range(len(ids) - length + 1)}:
-                table.setdefault(key, []).append(item)
+            if ids:
+                flat.extend(ids)
+                sizes.append(len(ids))
+                owners.append(-1 if name is None else number.setdefault(name, len(number)))
+        self.names = list(number)
+        self.ids = np.array(flat, dtype=np.int32)
+        size, owner = np.array(sizes, dtype=np.int64), np.array(owners, dtype=np.int64)
+        begin, lengths = np.cumsum(size) - size, np.minimum(size, window)
         self.tables = {}
-        for length, table in found.items():
-            grams = np.array(list(table), dtype=np.int64).reshape(-1, length)
-            h = window_hash(grams.ravel(), np.arange(len(grams)) * length, length)
-            order = np.argsort(h, kind="stable")
-            members = [list(table.values())[i] for i in order]
-            self.tables[length] = (h[order], grams[order], np.array([len(m) for m in members]),
-                                   np.array([x for m in members for x in m], dtype=np.int64))
+        for length in np.unique(lengths).tolist():
+            runs = size[lengths == length] - length + 1
+            start, item = ranges(begin[lengths == length], runs), np.repeat(owner[lengths == length], runs)
+            h = window_hash(self.ids, start, length)
+            order = np.lexsort((item, h))
+            h, start, item = h[order], start[order], item[order]
+            again = np.flatnonzero((h[1:] == h[:-1]) & (item[1:] == item[:-1]))
+            for j in range(length):
+                again = again[self.ids[start[again] + j] == self.ids[start[again + 1] + j]]
+            self.tables[length] = tuple(np.delete(x, again + 1) for x in (h, start, item))
 
     def scan(self, texts: list[bytes]):
         """Numbers of words, hit spans as (document, start, end) in word
@@ -85,7 +92,7 @@ class WindowIndex:
         reach = np.diff(np.concatenate([[-1], gaps])) - 1   # known words before each gap
         cover = np.zeros(len(ids) + 1, dtype=np.int32)
         pairs = []
-        for length, (hashes, grams, members, item) in self.tables.items():
+        for length, (hashes, start, item) in self.tables.items():
             long = reach >= length
             runs = reach[long] - length + 1
             at = ranges(gaps[long] - reach[long], runs)
@@ -99,14 +106,12 @@ class WindowIndex:
             which, at = ranges(first, n), np.repeat(at, n)
             same = np.ones(len(at), dtype=bool)
             for j in range(length):
-                same &= ids[at + j] == grams[which, j]
+                same &= ids[at + j] == self.ids[start[which] + j]
             at, which = at[same], which[same]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length, -1)
             of = np.searchsorted(ends, at, side="right")
-            offsets = np.cumsum(members) - members
-            pairs.append(np.stack([np.repeat(of, members[which]),
-                                   item[ranges(offsets[which], members[which])]], axis=1))
+            pairs.append(np.stack([of, item[which]], axis=1)[item[which] >= 0])
         hit = np.cumsum(cover[:-1]) > 0
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
         start, end = edges[::2], edges[1::2]
@@ -120,7 +125,7 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_bytes: int
     """The benchmark in parts of about ``shard_bytes`` (rows dealt by hash,
     so twice the number that the mean needs)."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")) \
-        .where("item is not null and text is not null")
+        .where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 if total <= shard_bytes else 2 * -(-total // shard_bytes)
     return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]

@@ -97,3 +97,31 @@ def test_benchmark_hits(spark, odd_rows, none, shard_bytes):
     assert cut.count() == len(rows) and decontaminate.benchmark_hits(cut, benchmark).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.benchmark_hits(none, benchmark, shard_bytes=shard_bytes).count() == 0
     assert decontaminate.benchmark_hits(docs, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_shards_agree_on_repeated_and_null_ids(spark, odd_rows):
+    items = [("i", prose(50, 25)), ("i", prose(51, 40)), ("i", prose(50, 25)), (None, prose(52, 30)), (None, "Zeta eta theta"), ("j", prose(51, 40))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    docs = frame(spark, odd_rows + [(20 + k, prose(9, 30) + " " + t + " tail", "a") for k, (_, t) in enumerate(items)])
+    results = []
+    for shard_bytes in (16 << 20, 150):
+        hits = decontaminate.benchmark_hits(docs, benchmark, shard_bytes=shard_bytes)
+        results.append(sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(r["items"])) for r in hits.collect()))
+    assert results[0] == results[1]
+    found = {int(i): (n, names) for i, _, n, names in results[0] if i != "None"}
+    assert found[20][1] == ("i",) and found[21][1] == ("i", "j") and found[23][1] == found[24][1] == ()
+    assert found[23][0] >= 30 and found[24][0] >= 3
+
+
+def test_large_shards_build_in_time():
+    import random
+    import time
+    rng = random.Random(1)
+    names = [f"w{k}".encode() for k in range(30000)]
+    items = [(f"i{k}", b" ".join(rng.choices(names, k=120))) for k in range(6000)] + [("same", b"a " * 100000)]
+    began = time.process_time()
+    index = decontaminate.WindowIndex(items)
+    assert time.process_time() - began < 20             # 4 MB
+    assert len(index.tables[13][0]) == 6000 * 108 + 1
+    counts, *_, pairs = index.scan([b"x " + items[7][1][:400] + b" y", b"a " * 14])
+    assert pairs.tolist() == [[0, 7], [1, 6000]]
