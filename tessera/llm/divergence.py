@@ -13,8 +13,8 @@ the other's least share, so that one row per share is enough; only terms that
 both have meet in a join.  That join has one row per source, language and term.
 
 ``CountVectorizer`` keeps its vocabulary on the driver and sends it to the
-executors.  The kept terms are counted before, and dealt by hash to as many
-fits as hold at most about ``FIT_TERMS`` terms each.
+executors.  A sketch tells how many terms there are before, and they are dealt
+by hash to so many fits that none keeps more than about ``FIT_TERMS``.
 
 Defined results: null lang, source and text count as ''; repeated rows are
 documents of their own; a language without kept terms has pairs of value 0 and
@@ -23,12 +23,14 @@ gives no rows."""
 
 from __future__ import annotations
 
+import heapq
+import math
 import string
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +41,9 @@ MIN_DOCS = 30
 SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
-# Terms that one fit keeps on the driver, about.
-FIT_TERMS = 2_000_000
+# Distinct terms that one fit is given, about, of which it keeps some on the driver.
+FIT_TERMS = 4_000_000
+SKETCH = 256
 _LARGEST = 2**31 - 1
 _TABLE = word_table(string.ascii_lowercase.encode())
 _BETWEEN = "\x00"           # no term holds it
@@ -60,38 +63,34 @@ def terms(lang: str, data: bytes) -> list[bytes]:
     return [tag + word for word in data.translate(_TABLE).split()]
 
 
-def kept_terms(rows: DataFrame, min_docs: int) -> DataFrame:
-    """Terms, behind their language, in at least ``min_docs`` documents of it;
-    a slice of text sends a term once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            seen: Counter = Counter()
-            for lang, data in zip(part.column("lang").to_pylist(), as_bytes(part.column("text"))):
-                seen.update(set(terms(lang, data)))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["name", "docs"])
-
-    return rows.select("lang", "text").mapInArrow(run, "name string, docs long").groupBy("name").agg(F.sum("docs").alias("docs")) \
-        .where(F.col("docs") >= min_docs)
-
-
 def with_terms(rows: DataFrame) -> DataFrame:
-    """(lang, source, terms), a row per document."""
+    """(lang, source, terms, least), a row per document.  ``least`` holds the
+    ``SKETCH`` least hashes of the terms of a slice of rows, in its first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             found = [terms(lang, data) for lang, data in zip(part.column("lang").to_pylist(), as_bytes(part.column("text")))]
-            flat = pa.array([t for doc in found for t in doc], pa.binary()).cast(pa.string())
+            flat = [t for doc in found for t in doc]
+            least = heapq.nsmallest(SKETCH, map(xxhash.xxh3_64_intdigest, set(flat)))
             ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("source"), pa.ListArray.from_arrays(ends, flat)], ["lang", "source", "terms"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("lang"), part.column("source"), pa.ListArray.from_arrays(ends, pa.array(flat, pa.binary()).cast(pa.string())),
+                 pa.array([[h >> 1 for h in least]] + [None] * (len(found) - 1), pa.list_(pa.int64()))], ["lang", "source", "terms", "least"])
+
+    return rows.mapInArrow(run, "lang string, source string, terms array<string>, least array<long>")
+
 
-    return rows.mapInArrow(run, "lang string, source string, terms array<string>")
+def distinct_terms(read: DataFrame) -> float:
+    """About how many distinct terms there are, from the least hashes."""
+    least = [r.h for r in read.select(F.explode("least").alias("h")).distinct().orderBy("h").limit(SKETCH).collect()]
+    return len(least) if len(least) < SKETCH else (SKETCH - 1) * 2.0**63 / least[-1]
 
 
 def term_counts(rows: DataFrame, min_docs: int, fit_terms: int) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms, a row per source
     that has the term."""
     spark = rows.sparkSession
-    shards = max(1, -(-kept_terms(rows, min_docs).count() // fit_terms))
     read = written(with_terms(rows), "divergence-terms")
+    shards = math.ceil(max(distinct_terms(read), 1) / fit_terms)
     out = None
     for shard in range(shards):
         mine = read if shards == 1 else \
@@ -99,7 +98,7 @@ def term_counts(rows: DataFrame, min_docs: int, fit_terms: int) -> DataFrame:
         # a term of its own in enough rows, so that a fit on no kept term stands
         guard = spark.range(min_docs).select(F.array(F.lit(_BETWEEN * 2)).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=_LARGEST) \
-            .fit(mine.select("terms").unionByName(guard))
+            .fit(mine.select(F.array_distinct("terms").alias("terms")).unionByName(guard))
         names = pa.table({"index": pa.array(range(len(model.vocabulary)), pa.int32()), "name": pa.array(model.vocabulary, pa.string())})
         counted = model.transform(mine).select("lang", "source", F.unwrap_udt("vector").alias("v")) \
             .select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("index"), F.col("v.values").alias("n")))) \
