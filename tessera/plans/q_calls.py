@@ -41,4 +41,4 @@ FROM t"""
 @register("r07_caller_search", caller_sql)
 def q_r07(spark, sf):
     hits = C.find_callers(caller_questions(spark, sf), T.call_edges_from_lineitem(spark, sf))
-    return round_doubles(C.caller_groups(hits))
+    return round_doubles(C.caller_groups(hits).drop("repo"))

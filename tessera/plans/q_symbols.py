@@ -86,5 +86,5 @@ FROM top"""
 
 @register("r01_symbol_search", symbol_search_sql)
 def q_r01(spark, sf):
-    res = S.symbol_search(symbol_questions(spark, sf), T.symbols_from_part(spark, sf))
+    res = S.symbol_search(symbol_questions(spark, sf), T.symbols_from_part(spark, sf)).drop("repo")
     return round_doubles(res)
