@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +33,7 @@ from tokenizers import Tokenizer
 
 from ..session import ensure_checkpoint_dir
 from .bpe import Memo
-from .common import slices, text_rows
+from .common import ranges, slices, text_rows
 
 SHARD_IDS = 1 << 21     # ids after which a shard is closed (a longer document stays whole)
 MEMO = 3 << 18
@@ -131,6 +132,8 @@ _LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
 _LETTERS = regex.compile(_LATIN).fullmatch
 _TAIL = regex.compile(rf"({_LATIN})([!-&(-/:-@\[-`{{-~]+)").fullmatch
 
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"     # the marks of the tail
+
 # Signs which byte-level vocabularies write for bytes: printable ones stand
 # for themselves, the others follow from 256 on.
 _PLAIN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -150,6 +153,11 @@ class WordIds:
         self.cuts[""] = ()
 
     def _ids(self, cut: str) -> tuple[int, ...]:
+        if cut.isascii():       # the two cases below, for the commonest cuts
+            if cut.isalpha():
+                return tuple([t.id for t in self.model.tokenize(cut.lower())])
+            if (head := cut.rstrip(_MARKS)) != cut and head.isalpha():
+                return self.cuts[head] + self.cuts[cut[len(head):]]
         if tail := _TAIL(cut):
             return self.cuts[tail[1]] + self.cuts[tail[2]]
         if _LETTERS(cut):
@@ -160,6 +168,19 @@ class WordIds:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.cuts.__getitem__, text.replace("\n", " ").split(" "))))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts one after another, and where each text begins
+        and ends; each distinct cut is looked up once."""
+        cuts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = cuts.values.dictionary_encode()
+        known = list(map(self.cuts.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, known), np.int64, len(known))
+        pool = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
+        which = np.asarray(coded.indices)
+        n = sizes[which]
+        ids = pool[ranges((np.cumsum(sizes) - sizes)[which], n)]
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.asarray(cuts.offsets)]
+
 
 _LOCAL: dict[int, WordIds] = {}
 
@@ -199,13 +220,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, *, end_id: int, path
                 ["part", "shard", "n_docs", "n_ids", "payload"])
 
         for batch in slices(batches):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = words.encode(text)
-                ids.append(end_id)
-                doc_ids.append(doc_id)
-                lengths.append(len(ids))
-                arrays.append(np.array(ids, dtype=np.uint32))
-                total += len(ids)
+            ids, ends = words.encode_all(batch.column("text"))
+            ids = np.insert(ids, ends[1:], end_id)
+            ends = ends + np.arange(len(ends))
+            names, at = batch.column("doc_id").to_pylist(), 0
+            while at < len(names):
+                # up to the document that fills the shard
+                to = min(len(names), int(np.searchsorted(ends, ends[at] + shard_ids - total)))
+                doc_ids += names[at:to]
+                lengths += np.diff(ends[at:to + 1]).tolist()
+                arrays.append(ids[ends[at]:ends[to]])
+                total += int(ends[to] - ends[at])
+                at = to
                 if total >= shard_ids:
                     yield close()
                     shard += 1
