@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -27,7 +28,12 @@ BITS = ["Ab", "B", " ", "  ", "\n", "\t", " ", ".", ",", "1", "'s", "'", "é",
 def test_both_encoders_give_the_libraries_ids(text):
     assert OURS.encode(text) == THEIRS.encode_ordinary(text)
     assert OURS.decode(OURS.encode(text)) == text.encode()
-    assert CUTS.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    expected = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert CUTS.encode(text) == expected
+    ids, ends = CUTS.encode_all(pa.array([text, "", text + " ", "ab. " + text]))
+    parts = [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+    assert parts[:2] == [expected, []]
+    assert parts[2:] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in (text + " ", "ab. " + text)]
 
 
 def test_pieces_made_of_tokens():
