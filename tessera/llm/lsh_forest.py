@@ -209,26 +209,35 @@ def _still_open(crowded: DataFrame) -> DataFrame:
     return keyed.join(several, "key").select("node").distinct()
 
 
-def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE) -> DataFrame:
+def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE, labels: DataFrame | None = None) -> DataFrame:
     """(a, b, est) of nodes of ``sets`` (node, set) such that every pair which
-    is similar enough is joined by similar pairs among them.  Exact.
+    is similar enough is joined by similar pairs among them and by the
+    components of ``labels`` (node, component), if given.  Exact.
 
     Sets with their shingles in one order, rare ones first, can only be
     similar if their prefixes share a shingle.  Sets meet by the shingles of
     their prefixes that at most ``rare`` sets hold.  A pair without such a
     shingle can only share frequent ones, and both its prefixes reach these:
     such sets go on with their frequent shingles alone, equal ones as one
-    class.  The more shingles a member has beyond its class, the fewer members
-    of any class are similar to it; so a member need only meet the smallest of
-    its own class and of each class that its class meets.  Shingles are
-    counted by classes, so those of a template are rare when the texts that
-    share it have become one class; where classes stay many, ``rare`` grows."""
+    class.  Members of two classes then share what the classes share, so a
+    member of size n is similar to another only if it is to the smallest, the
+    head, of that class, which is if n is at most the reach of its own class
+    over that head; and then both heads are similar.  So classes meet by their
+    heads, and a member meets one head, that of its class's longest reach: the
+    candidates are as many as pairs of heads and members together.  Shingles
+    are counted by classes, so those of a template are rare when the texts
+    that share it have become one class; where classes stay many, ``rare``
+    grows.  What one component holds wholly does not meet."""
     num, den = similarity
 
     def prefix(size, left):
         """Length of the prefix of a set, ``left`` of whose shingles go on."""
         return (size - F.ceil(size * num / den) + 1 - size + left).cast("int")
 
+    def reach(common, head_size):
+        """Largest size that is similar to a head with so many in common."""
+        return F.floor(common * (den + num) / num) - head_size
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             held = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column("set")]
@@ -236,47 +245,77 @@ def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE)
             if len(held):
                 yield pa.RecordBatch.from_arrays([part.column("node"), list_array(np.concatenate(held), counts)], ["class", "items"])
 
-    classes = sets.mapInArrow(split, "class long, items array<bigint>")
-    members = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"), F.col("node").alias("class"))
-    found = []
-    n_classes = sets.count()
-    while n_classes > 1:
-        heads = written(members.groupBy("class").agg(F.min(F.struct("size", "node")).alias("head"), F.count("*").alias("n")), "crowd-heads")
-        held = classes.select("class", F.explode("items").alias("item"))
-        counts = written(held.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "crowd-counts")
-        ordered = held.join(counts, "item", "left").groupBy("class").agg(
-            F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("items"))
-        ordered = ordered.join(heads, "class").withColumn("first", F.slice("items", 1, F.greatest(F.lit(0), prefix(F.col("head.size"), F.size("items")))))
-        ordered = written(ordered.select(
-            "class", "head", F.transform(F.filter("first", lambda s: s["df"].between(2, rare)), lambda s: s["item"]).alias("probes"),
-            F.when(F.exists("first", lambda s: s["df"] > rare),
-                   F.array_sort(F.transform(F.filter("items", lambda s: s["df"] > rare), lambda s: s["item"]))).alias("rest")), "crowd-sets")
-        # at most ``rare`` classes a shingle
-        met = ordered.select(F.explode("probes").alias("item"), F.struct("class", "head").alias("s")) \
-            .groupBy("item").agg(F.collect_list("s").alias("s")).where("size(s) > 1") \
-            .select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y"))
-        met = met.where((F.col("x.class") != F.col("y.class")) & (F.least("x.head.size", "y.head.size") * den >= F.greatest("x.head.size", "y.head.size") * num)) \
-            .groupBy(F.col("x.class").alias("class"), F.col("y.head.node").alias("b")).agg(F.count("*").alias("est"))
-        met = written(met, "crowd-met")
-        own = heads.where("n > 1").select("class", F.col("head.node").alias("b"), F.lit(0).cast("long").alias("est"))
-        ends = members.join(met.unionByName(own), "class").where("node <> b")
-        found.append(written(ends.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "est"), "crowd-pairs"))
+    classes = sets.select("node", "set").mapInArrow(split, "class long, items array<bigint>")
+    members = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"))
+    if labels is not None:
+        members = members.join(labels, "node", "left")
+    else:
+        members = members.withColumn("component", F.lit(None).cast("long"))
+    members = written(members.select("node", "size", F.coalesce("component", "node").alias("component"), F.col("node").alias("class")),
+                      "crowd-members")
+    found, whole = [], True         # whole: each class is one set
+    while True:
+        extent = members.agg(F.min("component"), F.max("component"), F.min("class"), F.max("class")).first()
+        if extent[0] == extent[1]:
+            break                   # nothing left, or all of it joined
+        heads = members.groupBy("class").agg(F.min(F.struct("size", "node", "component")).alias("head"),
+                                             F.min("component").alias("lo"), F.max("component").alias("hi"))
+        sized = written(heads.join(classes, "class").withColumn("left", F.size("items")).drop("items"), "crowd-heads")
+        own = sized.where("lo <> hi").select("class", F.struct(reach(F.col("left"), F.col("head.size")).alias("reach"), F.col("head.node").alias("b"),
+                                                               F.col("head.component").alias("c")).alias("best"))
+        one_class = extent[2] == extent[3]
+        if not one_class:
+            held = classes.select("class", F.explode("items").alias("item"))
+            counts = written(held.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "crowd-counts")
+            ordered = held.join(counts, "item", "left").groupBy("class").agg(
+                F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("items"))
+            ordered = ordered.join(sized, "class").withColumn("first", F.slice("items", 1, F.greatest(F.lit(0), prefix(F.col("head.size"), F.size("items")))))
+            ordered = written(ordered.select(
+                F.struct("class", "head", "lo", "hi").alias("s"), F.transform(F.filter("first", lambda s: s["df"].between(2, rare)), lambda s: s["item"]).alias("probes"),
+                F.when(F.exists("first", lambda s: s["df"] > rare),
+                       F.array_sort(F.transform(F.filter("items", lambda s: s["df"] > rare), lambda s: s["item"]))).alias("rest")), "crowd-sets")
+            # at most ``rare`` classes a shingle, of more than one component
+            met = ordered.select(F.explode("probes").alias("item"), "s") \
+                .groupBy("item").agg(F.collect_list("s").alias("s"), F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi")) \
+                .where("size(s) > 1 and lo <> hi").select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y"))
+            met = met.where((F.col("x.class") < F.col("y.class")) & (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi"))
+                            & (F.least("x.head.size", "y.head.size") * den >= F.greatest("x.head.size", "y.head.size") * num)) \
+                .groupBy(F.col("x.class").alias("cx"), F.col("y.class").alias("cy")) \
+                .agg(F.first("x.head").alias("x"), F.first("y.head").alias("y"), F.count("*").alias("est"))
+            if not whole:
+                # what the classes share decides which heads are similar
+                mine = met.join(classes.select(F.col("class").alias("cx"), F.col("items").alias("ix")), "cx") \
+                    .join(classes.select(F.col("class").alias("cy"), F.col("items").alias("iy")), "cy")
+                met = mine.withColumn("common", F.size(F.array_intersect("ix", "iy"))).drop("ix", "iy") \
+                    .where(F.col("common") * (den + num) >= num * (F.col("x.size") + F.col("y.size")))
+            met = written(met, "crowd-met")
+            found.append(met.where("x.component <> y.component").select(
+                F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "est"))
+            if not whole:
+                for this, that, head in (("cx", "cy", "y"), ("cy", "cx", "x")):
+                    own = own.unionByName(met.select(F.col(this).alias("class"), F.struct(
+                        reach(F.col("common"), F.col(f"{head}.size")).alias("reach"), F.col(f"{head}.node").alias("b"),
+                        F.col(f"{head}.component").alias("c")).alias("best")))
+        # members of one component are joined with their head
+        best = sized.where("lo <> hi").select("class", F.col("head.component").alias("hc")) \
+            .join(own.groupBy("class").agg(F.max("best").alias("best")), "class")
+        best = written(best, "crowd-best")
+        ends = members.join(best, "class").where("size <= best.reach and node <> best.b and component <> best.c and component <> hc")
+        found.append(written(ends.select(F.least("node", "best.b").alias("a"), F.greatest("node", "best.b").alias("b"),
+                                         F.lit(0).cast("long").alias("est")), "crowd-pairs"))
+        if one_class:
+            break
         # sets that may share frequent shingles only go on with these
-        named = ordered.where("rest is not null").select("class", "rest", F.struct(
+        named = ordered.where("rest is not null").select("s.class", "rest", F.struct(
             F.xxhash64("rest").alias("h"), F.xxhash64(F.lit(1), "rest").alias("i"), F.size("rest").alias("left")).alias("key"))
         named = written(named, "crowd-rest")
         same = written(named.groupBy("key").agg(F.min("class").alias("new")), "crowd-classes")
+        before, n_classes = sized.count(), same.count()
         classes = named.join(same, F.col("class") == F.col("new"), "left_semi").select("class", F.col("rest").alias("items"))
         members = members.join(named.select("class", "key"), "class").join(same, "key") \
-            .where(prefix(F.col("size"), F.col("key.left")) > 0).select("node", "size", F.col("new").alias("class"))
-        members = written(members, "crowd-members")
-        before, n_classes = n_classes, same.count()
-        if n_classes == 1:
-            # what shares all frequent shingles only has its smallest to meet
-            head = members.agg(F.min(F.struct("size", "node")).alias("head"))
-            found.append(members.crossJoin(F.broadcast(head)).where("node <> head.node").select(
-                F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"), F.lit(0).cast("long").alias("est")))
-        elif 2 * n_classes > before:
+            .where(prefix(F.col("size"), F.col("key.left")) > 0).select("node", "size", "component", F.col("new").alias("class"))
+        members, whole = written(members, "crowd-members"), False
+        if 2 * n_classes > before:
             rare *= 8
     if not found:
         return sets.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("est")).limit(0)
@@ -394,7 +433,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left_over = written(_still_open(named), "forest-crowd")
     if left_over.limit(1).count():
         sets = set_table(left_over)
-        settle(written(crowd_pairs(sets, similarity), "forest-more"), sets)
+        settle(written(crowd_pairs(sets, similarity, labels=labels), "forest-more"), sets)
 
     of_set = nodes.select("set_id", "node")
     placed = sketches.join(of_set, "set_id", "left")
