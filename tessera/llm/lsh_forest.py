@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Memo
 from .common import as_bytes, list_array, ranges, slices, text_rows, written
-from .components import components
+from .components import components, forest
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
@@ -43,6 +43,7 @@ SURE = 0.56             # share of equal values below which a pair is no candida
 ORDERS, DEPTH, AHEAD = 14, 2, 8
 LONGEST = 10            # values kept of an order
 RARE = 32               # sets that may hold a shingle by which all of them meet
+BLOCK = 1 << 16         # shingles of the classes that meet others in one task
 SHIPPED = 8             # pairs per node whose sets may travel at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -209,7 +210,117 @@ def _still_open(crowded: DataFrame) -> DataFrame:
     return keyed.join(several, "key").select("node").distinct()
 
 
-def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE, labels: DataFrame | None = None) -> DataFrame:
+def _bridges(a: np.ndarray, b: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Numbers of some of the edges (a, b) that join what all of them join,
+    where nodes of one component are joined already; fewer than nodes."""
+    label = np.unique(component, return_inverse=True)[1]
+    chosen = []
+    while len(open_ := np.flatnonzero(label[a] != label[b])):
+        ends = np.concatenate([label[a[open_]], label[b[open_]]])
+        at = np.unique(np.unique(ends, return_index=True)[1] % len(open_))
+        picked = open_[at]      # an edge of each component
+        chosen.append(picked)
+        moved, to = forest(label[a[picked]], label[b[picked]], len(component))
+        new = np.arange(len(component))
+        new[moved] = to
+        label = new[label]
+    return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of values that each set of ``x`` shares with each of ``y``."""
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(fx, fy)
+    rows = [(np.repeat(np.arange(len(s)), [len(v) for v in s]), f) for s, f in ((x, fx), (y, fy))]
+    for at in range(0, len(both), 4096):
+        part, sides = both[at:at + 4096], []
+        for (row, value), n in zip(rows, out.shape):
+            place = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            hit = part[place] == value
+            side = np.zeros((n, len(part)), dtype=np.float32)
+            side[row[hit], place[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_pairs(sized: DataFrame, classes: DataFrame, similarity: tuple[int, int], block: int = BLOCK) -> DataFrame:
+    """(class, other, common, link): of the classes whose heads are similar by
+    what the classes share, for each class the partner of the longest reach in
+    every pair of blocks, and links that join all such heads.
+
+    Classes that may share a shingle of their prefixes, directly or through
+    others, are a family.  A family is dealt into blocks of bounded weight,
+    those of a large component apart from the others, and two blocks meet in
+    one task unless one component holds both.  So blocks, not rows, meet in
+    pairs, and a task returns fewer rows than it has read."""
+    num, den = similarity
+    at = classes.join(sized.select("class", "lo", "hi", F.col("head.size").alias("size"), F.col("head.component").alias("component")), "class")
+    first = F.size("items") - F.ceil(F.col("size") * num / den) + 1
+    edges = at.select(F.col("class").alias("a"), F.explode(F.slice("items", 1, F.greatest(F.lit(0), first.cast("int")))).alias("b"))
+    family = components(written(edges, "crowd-edges")).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    at = at.join(family, "class").withColumn("one", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1)) \
+        .withColumn("weight", F.size("items").cast("long") + block // 512)
+    at = written(at, "crowd-families")
+    apart = at.groupBy("family", "one").agg(F.sum("weight").alias("weight")) \
+        .withColumn("part", F.when((F.col("weight") >= block) & (F.col("one") >= 0), F.col("one")).otherwise(-1))
+    apart = written(apart, "crowd-apart")
+    dealt = apart.groupBy("family", "part").agg(F.ceil(F.sum("weight") / block).alias("n"))
+    places = apart.drop("weight").join(dealt, ["family", "part"])
+    at = at.drop("weight").join(places, ["family", "one"]) \
+        .withColumn("block", F.xxhash64("family", "part", F.pmod(F.xxhash64("class"), "n"))).drop("one", "part", "n")
+    at = written(at, "crowd-blocks")
+    blocks = at.groupBy("family", "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    pairs = x.join(y, (F.col("x.family") == F.col("y.family")) & (F.col("x.block") <= F.col("y.block"))
+                   & (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi"))) \
+        .select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    sides = written(pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block")), "crowd-sides")
+    sent = at.drop("family").join(sides, "block").repartition("x", "y").sortWithinPartitions("x", "y")
+
+    def compare(held: list[dict]) -> pa.RecordBatch:
+        left = [r for r in held if r["block"] == r["x"]]
+        right = [r for r in held if r["block"] == r["y"]]
+        size, lo, hi = ([np.array([r[c] for r in side], dtype=np.int64) for side in (left, right)] for c in ("size", "lo", "hi"))
+        rows = []
+        if left and right:
+            common = _common([r["items"] for r in left], [r["items"] for r in right]).astype(np.int64)
+            good = common * (den + num) >= num * (size[0][:, None] + size[1][None, :])
+            good &= np.minimum(lo[0][:, None], lo[1][None, :]) < np.maximum(hi[0][:, None], hi[1][None, :])
+            if left[0]["x"] == left[0]["y"]:
+                good = np.triu(good, 1)
+            i, j = np.nonzero(good)
+            shared = common[i, j]
+            for this, that, a, b, s in ((left, right, i, j, size[1]), (right, left, j, i, size[0])):
+                order = np.lexsort((shared * (den + num) // num - s[b], a))
+                last = order[np.flatnonzero(np.append(a[order][1:] != a[order][:-1], len(order) > 0))] if len(order) else order
+                rows += [(this[a[k]]["class"], that[b[k]]["class"], int(shared[k]), False) for k in last]
+            names, at_ = np.unique([r["class"] for r in left + right], return_inverse=True)
+            component = np.zeros(len(names), dtype=np.int64)
+            component[at_] = [r["component"] for r in left + right]
+            a, b = at_[i], at_[len(left) + j]
+            rows += [(left[i[k]]["class"], right[j[k]]["class"], int(shared[k]), True) for k in _bridges(a, b, component)]
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in
+                                           enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["class", "other", "common", "link"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for part in batches:
+            narrow = part.drop_columns(["items"]).to_pylist()
+            for row, items in zip(narrow, part.column("items")):
+                if held and (held[0]["x"], held[0]["y"]) != (row["x"], row["y"]):
+                    yield compare(held)
+                    held = []
+                held.append(row | {"items": np.array(items.values)})
+        if held:
+            yield compare(held)
+
+    return sent.mapInArrow(run, "class long, other long, common long, link boolean")
+
+
+def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE, labels: DataFrame | None = None,
+                block: int = BLOCK) -> DataFrame:
     """(a, b, est) of nodes of ``sets`` (node, set) such that every pair which
     is similar enough is joined by similar pairs among them and by the
     components of ``labels`` (node, component), if given.  Exact.
@@ -223,11 +334,10 @@ def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE,
     member of size n is similar to another only if it is to the smallest, the
     head, of that class, which is if n is at most the reach of its own class
     over that head; and then both heads are similar.  So classes meet by their
-    heads, and a member meets one head, that of its class's longest reach: the
-    candidates are as many as pairs of heads and members together.  Shingles
-    are counted by classes, so those of a template are rare when the texts
-    that share it have become one class; where classes stay many, ``rare``
-    grows.  What one component holds wholly does not meet."""
+    heads, in blocks (``_block_pairs``), and a member meets one head, that of
+    its class's longest reach.  What one component holds wholly does not meet;
+    what a template leaves apart in n classes costs comparisons of n / 500
+    blocks with each other, but no rows for them."""
     num, den = similarity
 
     def prefix(size, left):
@@ -245,84 +355,56 @@ def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE,
             if len(held):
                 yield pa.RecordBatch.from_arrays([part.column("node"), list_array(np.concatenate(held), counts)], ["class", "items"])
 
-    classes = sets.select("node", "set").mapInArrow(split, "class long, items array<bigint>")
-    members = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"))
+    # sets that share a rare shingle
+    items = sets.select("node", "set").mapInArrow(split, "class long, items array<bigint>")
+    nodes = sets.select("node", (F.octet_length("set") / 8).cast("long").alias("size"))
     if labels is not None:
-        members = members.join(labels, "node", "left")
+        nodes = nodes.join(labels, "node", "left")
     else:
-        members = members.withColumn("component", F.lit(None).cast("long"))
-    members = written(members.select("node", "size", F.coalesce("component", "node").alias("component"), F.col("node").alias("class")),
-                      "crowd-members")
-    found, whole = [], True         # whole: each class is one set
-    while True:
-        extent = members.agg(F.min("component"), F.max("component"), F.min("class"), F.max("class")).first()
-        if extent[0] == extent[1]:
-            break                   # nothing left, or all of it joined
-        heads = members.groupBy("class").agg(F.min(F.struct("size", "node", "component")).alias("head"),
-                                             F.min("component").alias("lo"), F.max("component").alias("hi"))
-        sized = written(heads.join(classes, "class").withColumn("left", F.size("items")).drop("items"), "crowd-heads")
-        own = sized.where("lo <> hi").select("class", F.struct(reach(F.col("left"), F.col("head.size")).alias("reach"), F.col("head.node").alias("b"),
-                                                               F.col("head.component").alias("c")).alias("best"))
-        one_class = extent[2] == extent[3]
-        if not one_class:
-            held = classes.select("class", F.explode("items").alias("item"))
-            counts = written(held.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "crowd-counts")
-            ordered = held.join(counts, "item", "left").groupBy("class").agg(
-                F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("items"))
-            ordered = ordered.join(sized, "class").withColumn("first", F.slice("items", 1, F.greatest(F.lit(0), prefix(F.col("head.size"), F.size("items")))))
-            ordered = written(ordered.select(
-                F.struct("class", "head", "lo", "hi").alias("s"), F.transform(F.filter("first", lambda s: s["df"].between(2, rare)), lambda s: s["item"]).alias("probes"),
-                F.when(F.exists("first", lambda s: s["df"] > rare),
-                       F.array_sort(F.transform(F.filter("items", lambda s: s["df"] > rare), lambda s: s["item"]))).alias("rest")), "crowd-sets")
-            # at most ``rare`` classes a shingle, of more than one component
-            met = ordered.select(F.explode("probes").alias("item"), "s") \
-                .groupBy("item").agg(F.collect_list("s").alias("s"), F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi")) \
-                .where("size(s) > 1 and lo <> hi").select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y"))
-            met = met.where((F.col("x.class") < F.col("y.class")) & (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi"))
-                            & (F.least("x.head.size", "y.head.size") * den >= F.greatest("x.head.size", "y.head.size") * num)) \
-                .groupBy(F.col("x.class").alias("cx"), F.col("y.class").alias("cy")) \
-                .agg(F.first("x.head").alias("x"), F.first("y.head").alias("y"), F.count("*").alias("est"))
-            if not whole:
-                # what the classes share decides which heads are similar
-                mine = met.join(classes.select(F.col("class").alias("cx"), F.col("items").alias("ix")), "cx") \
-                    .join(classes.select(F.col("class").alias("cy"), F.col("items").alias("iy")), "cy")
-                met = mine.withColumn("common", F.size(F.array_intersect("ix", "iy"))).drop("ix", "iy") \
-                    .where(F.col("common") * (den + num) >= num * (F.col("x.size") + F.col("y.size")))
-            met = written(met, "crowd-met")
-            found.append(met.where("x.component <> y.component").select(
-                F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), "est"))
-            if not whole:
-                for this, that, head in (("cx", "cy", "y"), ("cy", "cx", "x")):
-                    own = own.unionByName(met.select(F.col(this).alias("class"), F.struct(
-                        reach(F.col("common"), F.col(f"{head}.size")).alias("reach"), F.col(f"{head}.node").alias("b"),
-                        F.col(f"{head}.component").alias("c")).alias("best")))
-        # members of one component are joined with their head
-        best = sized.where("lo <> hi").select("class", F.col("head.component").alias("hc")) \
-            .join(own.groupBy("class").agg(F.max("best").alias("best")), "class")
-        best = written(best, "crowd-best")
-        ends = members.join(best, "class").where("size <= best.reach and node <> best.b and component <> best.c and component <> hc")
-        found.append(written(ends.select(F.least("node", "best.b").alias("a"), F.greatest("node", "best.b").alias("b"),
-                                         F.lit(0).cast("long").alias("est")), "crowd-pairs"))
-        if one_class:
-            break
-        # sets that may share frequent shingles only go on with these
-        named = ordered.where("rest is not null").select("s.class", "rest", F.struct(
-            F.xxhash64("rest").alias("h"), F.xxhash64(F.lit(1), "rest").alias("i"), F.size("rest").alias("left")).alias("key"))
-        named = written(named, "crowd-rest")
-        same = written(named.groupBy("key").agg(F.min("class").alias("new")), "crowd-classes")
-        before, n_classes = sized.count(), same.count()
-        classes = named.join(same, F.col("class") == F.col("new"), "left_semi").select("class", F.col("rest").alias("items"))
-        members = members.join(named.select("class", "key"), "class").join(same, "key") \
-            .where(prefix(F.col("size"), F.col("key.left")) > 0).select("node", "size", "component", F.col("new").alias("class"))
-        members, whole = written(members, "crowd-members"), False
-        if 2 * n_classes > before:
-            rare *= 8
-    if not found:
-        return sets.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("est")).limit(0)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.groupBy("a", "b").agg(F.max("est").cast("double").alias("est"))
+        nodes = nodes.withColumn("component", F.lit(None).cast("long"))
+    nodes = written(nodes.select("node", "size", F.coalesce("component", "node").alias("component")), "crowd-nodes")
+    each = items.select("class", F.explode("items").alias("item"))
+    counts = written(each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "crowd-counts")
+    ordered = each.join(counts, "item", "left").groupBy("class").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("items"))
+    ordered = ordered.join(nodes, F.col("class") == F.col("node")) \
+        .withColumn("first", F.slice("items", 1, F.greatest(F.lit(0), prefix(F.col("size"), F.size("items")))))
+    ordered = written(ordered.select(
+        F.struct("node", "size", "component").alias("s"), F.transform(F.filter("first", lambda s: s["df"].between(2, rare)), lambda s: s["item"]).alias("probes"),
+        F.when(F.exists("first", lambda s: s["df"] > rare),
+               F.array_sort(F.transform(F.filter("items", lambda s: s["df"] > rare), lambda s: s["item"]))).alias("rest")), "crowd-sets")
+    # at most ``rare`` sets a shingle, of more than one component
+    met = ordered.select(F.explode("probes").alias("item"), "s") \
+        .groupBy("item").agg(F.collect_list("s").alias("s"), F.min("s.component").alias("lo"), F.max("s.component").alias("hi")) \
+        .where("lo <> hi").select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y")) \
+        .where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
+               & (F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num)) \
+        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("est"))
+
+    # sets that may share frequent shingles only go on with these
+    named = ordered.where("rest is not null").select("s.*", "rest", F.struct(
+        F.xxhash64("rest").alias("h"), F.xxhash64(F.lit(1), "rest").alias("i"), F.size("rest").alias("left")).alias("key"))
+    named = written(named.where(prefix(F.col("size"), F.col("key.left")) > 0), "crowd-rest")
+    same = written(named.groupBy("key").agg(F.min("node").alias("class"), F.min(F.struct("size", "node", "component")).alias("head"),
+                                            F.min("component").alias("lo"), F.max("component").alias("hi")), "crowd-classes")
+    classes = named.join(same.select("class"), F.col("node") == F.col("class"), "left_semi").select(F.col("node").alias("class"), F.col("rest").alias("items"))
+    sized = same.select("class", "head", "lo", "hi", F.col("key.left").alias("left"))
+    members = named.select("node", "size", "component", "key").join(same.select("key", "class"), "key").drop("key")
+    near = written(_block_pairs(sized, classes, similarity, block), "crowd-near")
+    other = sized.select(F.col("class").alias("other"), F.col("head").alias("to"))
+    near = written(near.join(sized.select("class", "head"), "class").join(other, "other"), "crowd-heads")
+    links = near.where("link").select(F.least("head.node", "to.node").alias("a"), F.greatest("head.node", "to.node").alias("b"), F.col("common").alias("est"))
+    # members of one component are joined with their head
+    own = sized.where("lo <> hi").select("class", F.struct(reach(F.col("left"), F.col("head.size")).alias("reach"), F.col("head.node").alias("b"),
+                                                           F.col("head.component").alias("c")).alias("best"))
+    own = own.unionByName(near.where("not link").select("class", F.struct(
+        reach(F.col("common"), F.col("to.size")).alias("reach"), F.col("to.node").alias("b"), F.col("to.component").alias("c")).alias("best")))
+    best = sized.where("lo <> hi").select("class", F.col("head.component").alias("hc")) \
+        .join(own.groupBy("class").agg(F.max("best").alias("best")), "class")
+    ends = members.join(written(best, "crowd-best"), "class") \
+        .where("size <= best.reach and node <> best.b and component <> best.c and component <> hc")
+    ends = ends.select(F.least("node", "best.b").alias("a"), F.greatest("node", "best.b").alias("b"), F.lit(0).cast("long").alias("est"))
+    return met.unionByName(links).unionByName(ends).groupBy("a", "b").agg(F.max("est").cast("double").alias("est"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:

@@ -81,11 +81,22 @@ def test_crowd_pairs_match_brute_force(spark):
     as_sets = [set(x.tolist()) for x in sets]
     linked = [(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(as_sets[a] & as_sets[b]) >= 75 * len(as_sets[a] | as_sets[b])]
     frame_ = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "node long, set binary")
-    for rare in (2, 8, 32, 1000):
-        pairs = {(r.a, r.b) for r in lsh_forest.crowd_pairs(frame_, (75, 100), rare).collect()}
+    for rare, block in ((2, 500), (2, 1 << 16), (8, 2000), (32, 500), (1000, 500)):
+        pairs = {(r.a, r.b) for r in lsh_forest.crowd_pairs(frame_, (75, 100), rare, block=block).collect()}
         assert closed(range(len(sets)), pairs & set(linked)) == closed(range(len(sets)), linked)
 
 
+def test_bridges_join_what_all_edges_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (30, 12), (60, 400)):
+        a, b, component = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, n, n) % (n // 2 + 1)
+        held = [(int(x), n + int(c)) for x, c in enumerate(component)]
+        some = lsh_forest._bridges(a, b, component)
+        assert len(some) < n
+        assert closed(range(2 * n), held + list(zip(a[some].tolist(), b[some].tolist()))) \
+            == closed(range(2 * n), held + list(zip(a.tolist(), b.tolist())))
+
+
 @pytest.mark.parametrize("share", [250_000, 100])
 def test_components(spark, share, monkeypatch):
     monkeypatch.setattr("tessera.llm.components.SHARE", share)
