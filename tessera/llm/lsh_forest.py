@@ -335,9 +335,9 @@ def crowd_pairs(sets: DataFrame, similarity: tuple[int, int], rare: int = RARE,
     head, of that class, which is if n is at most the reach of its own class
     over that head; and then both heads are similar.  So classes meet by their
     heads, in blocks (``_block_pairs``), and a member meets one head, that of
-    its class's longest reach.  What one component holds wholly does not meet;
-    what a template leaves apart in n classes costs comparisons of n / 500
-    blocks with each other, but no rows for them."""
+    its class's longest reach.  What one component holds wholly does not meet.
+    A class is sent once for each block that its own meets: n classes of one
+    template that links leave apart cost n squared over the classes of a block."""
     num, den = similarity
 
     def prefix(size, left):
