@@ -68,6 +68,41 @@ def test_probabilities_add_up_to_one():
     assert 0.5 < total <= 1.0 + 1e-5 and space.stop > space.start
 
 
+def test_whole_word_contexts_of_all_words(spark):
+    """Words seen twice, more than a table of frequent words holds, are known as whole words."""
+    rng = np.random.default_rng(0)
+    words = ["".join(chr(97 + c) for c in w) for w in rng.integers(0, 26, (100_000, 9))]
+    rows = [(k + more, " ".join(words[k * 100:(k + 1) * 100]), "a") for k in range(1000) for more in (0, 5000)]
+    per_word = [r.score / r.n_tokens for r in mixing.score_texts(frame(spark, rows)).collect() if not r.held_out]
+    assert sum(per_word) / len(per_word) > -11.0      # letters alone: 9 * log10(26) = 12.7
+
+
+def test_pages_know_what_others_hold():
+    """Counts of every context are those of the whole vocabulary, however it is cut."""
+    rng = np.random.default_rng(1)
+    words = sorted({b""} | {bytes(rng.integers(97, 100, rng.integers(1, 7)).astype(np.uint8)) for _ in range(300)})
+    scripts, counts = np.zeros(len(words), np.int32), rng.integers(0, 9, len(words))
+    tree = mixing.huffman(np.ones(256))
+    cuts = [(a, min(a + 7, len(words))) for a in range(0, len(words), 7)]
+    met = {}
+    for a, b in cuts:
+        edge = mixing.on_edges(words[a:b], tree)
+        (h,), bit, _, n = mixing.word_hashes(words[a:b], scripts[a:b], tree, (0,))
+        for key, pair in zip(*mixing.edge_counts(h[edge], bit[edge], np.repeat(counts[a:b], n)[edge])):
+            met.setdefault(int(key), []).append(pair)
+    shared = sorted(k for k, found in met.items() if len(found) > 1)
+    edges = np.array(shared, np.uint64), np.array([sum(met[k]) for k in shared])
+    none = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+    whole = mixing.whole_slots(words, scripts, counts, tree, none)
+    (h,), _, _, _ = mixing.word_hashes(words, scripts, tree, (0,))
+    slots, n_hashes = np.unique(mixing._slot(np.unique(h), mixing.WHOLE), return_counts=True)
+    for a, b in cuts:
+        (h,), _, _, _ = mixing.word_hashes(words[a:b], scripts[a:b], tree, (0,))
+        at = mixing._slot(h, mixing.WHOLE)
+        at = at[~np.isin(at, slots[n_hashes > 1])] - mixing._OFFSETS[mixing.WHOLE]       # slots of one hash
+        assert (mixing.whole_slots(words[a:b], scripts[a:b], counts[a:b], tree, edges)[at] == whole[at]).all()
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     emit, trans, n = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([3, 0, 4])
