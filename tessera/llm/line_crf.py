@@ -31,6 +31,7 @@ FIT_LINES = 256
 FIT_STEPS = 150
 THRESHOLD = 0.3
 MODULUS = 5
+SLICE_BYTES = 1 << 20       # line features take some fifty times the bytes of their text
 
 # Classes of bytes: white space, lower, upper, digit, bar, bang, mark, sign, beyond ASCII.
 _CLASS = np.full(256, 8, dtype=np.uint8)
@@ -214,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = text_rows(docs, id_col, text_col).join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=SLICE_BYTES):
             own, size, n_lines = line_features(as_bytes(part.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [part.column("label"), list_array(size.astype(np.int32), n_lines), list_array(own.ravel(), n_lines * own.shape[1])],
@@ -236,7 +237,7 @@ def score_quality(docs: DataFrame, model: LineModel | None, *, id_col: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=SLICE_BYTES):
             scores = _scores(shared.value, as_bytes(part.column("text")))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
@@ -252,7 +253,7 @@ def keep_good(docs: DataFrame, model: LineModel | None, *, text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text_col):
+        for part in slices(batches, text_col, SLICE_BYTES):
             scores = _scores(shared.value, [t or b"" for t in as_bytes(part.column(text_col))])
             yield part.filter(pa.array(scores >= threshold))
 

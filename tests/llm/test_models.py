@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -139,3 +140,14 @@ def test_quality(spark, odd, odd_rows, none):
     assert line_crf.keep_good(docs, model).columns == docs.columns
     assert {r.score for r in line_crf.score_quality(odd, line_crf.train(docs, labels.limit(0))).collect()} == {0.5}
     assert line_crf.score_quality(none, model).count() == 0 and line_crf.train(none, labels) is None
+
+
+def test_memory_of_a_slice():
+    """What a task holds at once for line features, in a worker beside others."""
+    text = prose(7, 3000).encode()
+    texts = [text] * (line_crf.SLICE_BYTES // len(text))
+    tracemalloc.start()
+    line_crf.line_features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 << 20
