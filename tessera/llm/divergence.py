@@ -2,9 +2,9 @@
 
 One ``CountVectorizer`` fit holds the vocabularies of all languages, since a
 term carries its language: minDF then counts documents of that language, and
-vocabSize is the largest integer, so that no term is cut.  The exact sparse
-vectors of the documents are added up by (lang, source), as (term, count) rows
-with partial sums; no dense vector is made.  Shares are whole billionths, all
+vocabSize is the largest integer, so that no term is cut.  Its exact sparse
+vectors of the terms of (lang, source), which tasks sum over documents first,
+are added up, as (term, count) rows with partial sums; no dense vector is made.  Shares are whole billionths, all
 arithmetic is on integers.
 
 Two sources are compared sparsely.  Terms that neither has differ by the same
@@ -26,7 +26,9 @@ from __future__ import annotations
 import heapq
 import math
 import string
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ TOP_TERMS = 50
 # Distinct terms that one fit is given, about, of which it keeps some on the driver.
 FIT_TERMS = 4_000_000
 SKETCH = 256
+FLUSH = 300_000             # distinct terms of groups that a task holds before it hands them on
+ROW_TERMS = 4096
 _LARGEST = 2**31 - 1
 _TABLE = word_table(string.ascii_lowercase.encode())
 _BETWEEN = "\x00"           # no term holds it
@@ -57,26 +61,49 @@ def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> Da
     return docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
 
 
-def terms(lang: str, data: bytes) -> list[bytes]:
-    """Terms of a text, each behind its language."""
-    tag = (lang + _BETWEEN).encode()
-    return [tag + word for word in data.translate(_TABLE).split()]
-
-
 def with_terms(rows: DataFrame) -> DataFrame:
-    """(lang, source, terms, least), a row per document.  ``least`` holds the
-    ``SKETCH`` least hashes of the terms of a slice of rows, in its first."""
+    """(lang, source, terms, weight, least).  A row without ``weight`` is a
+    document, with its distinct terms, each behind its language.  The others
+    hold the occurrences, summed over documents of a task: a term found five
+    times stands in a row of weight 4 and in one of weight 1.  ``least`` holds
+    the ``SKETCH`` least hashes of the terms of a slice of rows, in its first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = [terms(lang, data) for lang, data in zip(part.column("lang").to_pylist(), as_bytes(part.column("text")))]
-            flat = [t for doc in found for t in doc]
-            least = heapq.nsmallest(SKETCH, map(xxhash.xxh3_64_intdigest, set(flat)))
+        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+        def batch(langs, sources, found, weights, least):
             ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("lang"), part.column("source"), pa.ListArray.from_arrays(ends, pa.array(flat, pa.binary()).cast(pa.string())),
-                 pa.array([[h >> 1 for h in least]] + [None] * (len(found) - 1), pa.list_(pa.int64()))], ["lang", "source", "terms", "least"])
+            flat = pa.array(list(chain.from_iterable(found)), pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.ListArray.from_arrays(ends, flat),
+                 pa.array(weights, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["lang", "source", "terms", "weight", "least"])
+
+        def sums():
+            for (lang, source), counter in held.items():
+                tag, weight = (lang + _BETWEEN).encode(), 1
+                words = np.array(list(counter), dtype=object)
+                counts = np.fromiter(counter.values(), np.int64, len(counter))
+                while counts.any():
+                    mine = [tag + w for w in words[counts & 1 == 1]]
+                    for a in range(0, len(mine), ROW_TERMS):
+                        yield batch([lang], [source], [mine[a:a + ROW_TERMS]], [weight], [None])
+                    words, counts = words[counts > 1], counts[counts > 1] >> 1
+                    weight *= 2
+            held.clear()
+
+        for part in slices(batches):
+            langs, sources, found = part.column("lang").to_pylist(), part.column("source").to_pylist(), []
+            for lang, source, data in zip(langs, sources, as_bytes(part.column("text"))):
+                words = data.translate(_TABLE).split()
+                held[lang, source].update(words)
+                tag = (lang + _BETWEEN).encode()
+                found.append([tag + word for word in set(words)])
+            least = heapq.nsmallest(SKETCH, map(xxhash.xxh3_64_intdigest, set(chain.from_iterable(found))))
+            yield batch(langs, sources, found, [None] * len(found), [[h >> 1 for h in least]] + [None] * (len(found) - 1))
+            if sum(map(len, held.values())) > FLUSH:
+                yield from sums()
+        yield from sums()
 
-    return rows.mapInArrow(run, "lang string, source string, terms array<string>, least array<long>")
+    return rows.mapInArrow(run, "lang string, source string, terms array<string>, weight long, least array<long>")
 
 
 def distinct_terms(read: DataFrame) -> float:
@@ -98,11 +125,11 @@ def term_counts(rows: DataFrame, min_docs: int, fit_terms: int) -> DataFrame:
         # a term of its own in enough rows, so that a fit on no kept term stands
         guard = spark.range(min_docs).select(F.array(F.lit(_BETWEEN * 2)).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=_LARGEST) \
-            .fit(mine.select(F.array_distinct("terms").alias("terms")).unionByName(guard))
+            .fit(mine.where("weight is null").select("terms").unionByName(guard))
         names = pa.table({"index": pa.array(range(len(model.vocabulary)), pa.int32()), "name": pa.array(model.vocabulary, pa.string())})
-        counted = model.transform(mine).select("lang", "source", F.unwrap_udt("vector").alias("v")) \
-            .select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("index"), F.col("v.values").alias("n")))) \
-            .groupBy("lang", "source", "index").agg(F.sum(F.col("n").cast("long")).alias("n"))
+        counted = model.transform(mine.where("weight is not null")).select("lang", "source", "weight", F.unwrap_udt("vector").alias("v")) \
+            .select("lang", "source", "weight", F.inline(F.arrays_zip(F.col("v.indices").alias("index"), F.col("v.values").alias("n")))) \
+            .groupBy("lang", "source", "index").agg(F.sum(F.col("n").cast("long") * F.col("weight")).alias("n"))
         named = counted.join(spark.createDataFrame(names), "index") \
             .select("lang", "source", F.element_at(F.split("name", _BETWEEN), -1).alias("term"), "n")
         named = written(named, "divergence-counts")

@@ -64,3 +64,17 @@ def test_nothing_kept_and_empty_table(spark, odd, none):
     assert run(spark, rows) == {("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)}
     assert divergence.divergence(none).count() == 0
     assert divergence.divergence(odd, min_docs=1).where("part = 'pair'").count() == 12      # four sources, null among them
+
+
+def test_occurrences_are_summed_before_they_are_counted(spark):
+    """A group's repeats of a term reach the transform as few rows, not one by one."""
+    rows = [("en", "one one two " * 20, "a"), ("fr", "One", "a")] * 50
+    got = divergence.with_terms(spark.createDataFrame(rows, "lang string, text string, source string").coalesce(1)).collect()
+    assert sorted((r.lang, *sorted(r.terms)) for r in got if r.weight is None) == [("en", "en\x00one", "en\x00two")] * 50 + [("fr", "fr\x00one")] * 50
+    total = Counter()
+    for r in got:
+        if r.weight is not None:
+            assert len(set(r.terms)) == len(r.terms)
+            total.update({t: r.weight for t in r.terms})
+    assert total == {"en\x00one": 2000, "en\x00two": 1000, "fr\x00one": 50}
+    assert sum(len(r.terms) for r in got if r.weight is not None) <= 3 * 11
