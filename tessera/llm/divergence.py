@@ -23,7 +23,6 @@ gives no rows."""
 
 from __future__ import annotations
 
-import heapq
 import math
 import string
 from collections import Counter, defaultdict
@@ -61,12 +60,17 @@ def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> Da
     return docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
 
 
+def _least(hashes: np.ndarray) -> np.ndarray:
+    """The ``SKETCH`` least distinct ones."""
+    return np.unique(hashes)[:SKETCH]
+
+
 def with_terms(rows: DataFrame) -> DataFrame:
     """(lang, source, terms, weight, least).  A row without ``weight`` is a
     document, with its distinct terms, each behind its language.  The others
     hold the occurrences, summed over documents of a task: a term found five
     times stands in a row of weight 4 and in one of weight 1.  ``least`` holds
-    the ``SKETCH`` least hashes of the terms of a slice of rows, in its first."""
+    the ``SKETCH`` least hashes of the terms handed on together, in the first row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
@@ -78,16 +82,19 @@ def with_terms(rows: DataFrame) -> DataFrame:
                  pa.array(weights, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["lang", "source", "terms", "weight", "least"])
 
         def sums():
+            rows, least = [], np.zeros(0, np.uint64)
             for (lang, source), counter in held.items():
                 tag, weight = (lang + _BETWEEN).encode(), 1
-                words = np.array(list(counter), dtype=object)
+                words = np.array([tag + w for w in counter], dtype=object)
+                least = _least(np.concatenate([least, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))]))
                 counts = np.fromiter(counter.values(), np.int64, len(counter))
-                while counts.any():
-                    mine = [tag + w for w in words[counts & 1 == 1]]
-                    for a in range(0, len(mine), ROW_TERMS):
-                        yield batch([lang], [source], [mine[a:a + ROW_TERMS]], [weight], [None])
+                while len(counts):
+                    mine = words[counts & 1 == 1].tolist()
+                    rows += [(lang, source, mine[a:a + ROW_TERMS], weight) for a in range(0, len(mine), ROW_TERMS)]
                     words, counts = words[counts > 1], counts[counts > 1] >> 1
                     weight *= 2
+            if rows:
+                yield batch(*zip(*rows), [(least >> np.uint64(1)).astype(np.int64)] + [None] * (len(rows) - 1))
             held.clear()
 
         for part in slices(batches):
@@ -97,8 +104,7 @@ def with_terms(rows: DataFrame) -> DataFrame:
                 held[lang, source].update(words)
                 tag = (lang + _BETWEEN).encode()
                 found.append([tag + word for word in set(words)])
-            least = heapq.nsmallest(SKETCH, map(xxhash.xxh3_64_intdigest, set(chain.from_iterable(found))))
-            yield batch(langs, sources, found, [None] * len(found), [[h >> 1 for h in least]] + [None] * (len(found) - 1))
+            yield batch(langs, sources, found, [None] * len(found), [None] * len(found))
             if sum(map(len, held.values())) > FLUSH:
                 yield from sums()
         yield from sums()
