@@ -13,8 +13,10 @@ the other's least share, so that one row per share is enough; only terms that
 both have meet in a join.  That join has one row per source, language and term.
 
 ``CountVectorizer`` keeps its vocabulary on the driver and sends it to the
-executors.  A sketch tells how many terms there are before, and they are dealt
-by hash to so many fits that none keeps more than about ``FIT_TERMS``.
+executors.  Terms are counted before, and dealt by hash to so many fits that
+none keeps more than about ``FIT_TERMS``.  The fit asks in how many documents a
+term is, up to minDF: documents are summed by term first, and every term then
+stands in as many rows as documents hold it, at most in minDF.
 
 Defined results: null lang, source and text count as ''; repeated rows are
 documents of their own; a language without kept terms has pairs of value 0 and
@@ -25,18 +27,16 @@ from __future__ import annotations
 
 import math
 import string
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, word_table, written
+from .common import WORD, added, ranges, slices, united, word_table, words_of, written
 
 MIN_DOCS = 30
 SMOOTHING = 5
@@ -44,8 +44,7 @@ SCALE = 1_000_000_000
 TOP_TERMS = 50
 # Distinct terms that one fit is given, about, of which it keeps some on the driver.
 FIT_TERMS = 4_000_000
-SKETCH = 256
-FLUSH = 300_000             # distinct terms of groups that a task holds before it hands them on
+FLUSH = 4_000_000           # numbers of terms that a task holds before it hands them on
 ROW_TERMS = 4096
 _LARGEST = 2**31 - 1
 _TABLE = word_table(string.ascii_lowercase.encode())
@@ -60,84 +59,133 @@ def _named(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> Da
     return docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), text(text_col).alias("text"))
 
 
-def _least(hashes: np.ndarray) -> np.ndarray:
-    """The ``SKETCH`` least distinct ones."""
-    return np.unique(hashes)[:SKETCH]
+class _Numbers(dict):
+    """Numbers things in the order in which they come."""
 
+    def __missing__(self, thing) -> int:
+        self[thing] = number = len(self)
+        return number
+
+    def of(self, things: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, things), np.int64, len(things))
 
-def with_terms(rows: DataFrame) -> DataFrame:
-    """(lang, source, terms, weight, least).  A row without ``weight`` is a
-    document, with its distinct terms, each behind its language.  The others
-    hold the occurrences, summed over documents of a task: a term found five
-    times stands in a row of weight 4 and in one of weight 1.  ``least`` holds
-    the ``SKETCH`` least hashes of the terms handed on together, in the first row."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
-        def batch(langs, sources, found, weights, least):
-            ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-            flat = pa.array(list(chain.from_iterable(found)), pa.binary()).cast(pa.string())
+def with_terms(rows: DataFrame, summed: bool = False) -> DataFrame:
+    """(lang, source, terms, weight, docs).  A row without ``weight`` is a
+    document, with its distinct terms, each behind its language; with
+    ``summed``, it holds terms of documents of a task, and ``docs`` in how many
+    each is found.  The others hold the occurrences, summed over documents of a
+    task: a term found five times stands in a row of weight 4 and in one of
+    weight 1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, langs_of = _Numbers(), _Numbers()           # of (lang, source) and lang
+        distinct: list[pa.Array] = []                       # words of each slice
+        found_in: dict[str, list] = {"groups": [], "docs": []}      # (number << 32 | word, how often) of each slice
+
+        def batch(found, docs):
+            """``found``: (lang, source, weight, terms, docs); terms are cut into rows."""
+            langs, sources, weights, terms, n = zip(*found)
+            cut = [np.append(np.arange(0, len(t), ROW_TERMS), len(t)) if docs is not None else np.array([0, len(t)]) for t in terms]
+            rows = np.array([len(c) - 1 for c in cut])
+            ends = pa.array(np.append(0, np.cumsum(np.concatenate([np.diff(c) for c in cut]))), pa.int32())
+            held = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(n), pa.int64())) if docs else pa.nulls(rows.sum(), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.ListArray.from_arrays(ends, flat),
-                 pa.array(weights, pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["lang", "source", "terms", "weight", "least"])
+                [*(pa.array(x, t).take(pa.array(np.repeat(np.arange(len(rows)), rows))) for x, t in
+                   ((langs, pa.string()), (sources, pa.string()))),
+                 pa.ListArray.from_arrays(ends, pa.concat_arrays(terms).cast(pa.string())),
+                 pa.array(weights, pa.int64()).take(pa.array(np.repeat(np.arange(len(rows)), rows))), held],
+                ["lang", "source", "terms", "weight", "docs"])
+
+        def tagged(words, lang):
+            return pc.binary_join_element_wise(pa.scalar((lang + _BETWEEN).encode(), pa.binary()), words, pa.scalar(b"", pa.binary()))
 
         def sums():
-            rows, least = [], np.zeros(0, np.uint64)
-            for (lang, source), counter in held.items():
-                tag, weight = (lang + _BETWEEN).encode(), 1
-                words = np.array([tag + w for w in counter], dtype=object)
-                least = _least(np.concatenate([least, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))]))
-                counts = np.fromiter(counter.values(), np.int64, len(counter))
-                while len(counts):
-                    mine = words[counts & 1 == 1].tolist()
-                    rows += [(lang, source, mine[a:a + ROW_TERMS], weight) for a in range(0, len(mine), ROW_TERMS)]
-                    words, counts = words[counts > 1], counts[counts > 1] >> 1
-                    weight *= 2
-            if rows:
-                yield batch(*zip(*rows), [(least >> np.uint64(1)).astype(np.int64)] + [None] * (len(rows) - 1))
-            held.clear()
+            if not distinct:
+                return
+            words, places = united(distinct)
+            for kind, names in (("groups", list(groups)), ("docs", [(lang, None) for lang in langs_of])):
+                keys, n = added([(keys & ~WORD | at[keys & WORD], n) for at, (keys, n) in zip(places, found_in[kind])])
+                cuts, found = np.searchsorted(keys, np.arange(len(names) + 1) << 32), []
+                for (lang, source), a, b in zip(names, cuts, cuts[1:]):
+                    terms, counts, weight = tagged(words.take(pa.array(keys[a:b] & WORD)), lang), n[a:b], 1
+                    if kind == "docs":
+                        found.append((lang, source, None, terms, counts))
+                        continue
+                    while len(counts):
+                        odd = counts & 1 == 1
+                        found.append((lang, source, weight, terms.filter(pa.array(odd)), counts))
+                        terms, counts, weight = terms.filter(pa.array(counts > 1)), counts[counts > 1] >> 1, weight * 2
+                found = [x for x in found if len(x[3])]
+                if found:
+                    yield batch(found, kind == "docs")
+                found_in[kind].clear()
+            for held in (distinct, groups, langs_of):
+                held.clear()
 
         for part in slices(batches):
-            langs, sources, found = part.column("lang").to_pylist(), part.column("source").to_pylist(), []
-            for lang, source, data in zip(langs, sources, as_bytes(part.column("text"))):
-                words = data.translate(_TABLE).split()
-                held[lang, source].update(words)
-                tag = (lang + _BETWEEN).encode()
-                found.append([tag + word for word in set(words)])
-            yield batch(langs, sources, found, [None] * len(found), [None] * len(found))
-            if sum(map(len, held.values())) > FLUSH:
+            langs, sources = part.column("lang").to_pylist(), part.column("source").to_pylist()
+            group, lang = groups.of(list(zip(langs, sources))), langs_of.of(langs)
+            words, ids, n = words_of(part.column("text"), _TABLE)
+            distinct.append(words)
+            ids, doc = ids.astype(np.int64), np.repeat(np.arange(len(n)), n)
+            found_in["groups"].append(added([(group[doc] << 32 | ids, None)]))
+            once, _ = added([(doc << 32 | ids, None)])
+            if summed:
+                found_in["docs"].append(added([(lang[once >> 32] << 32 | once & WORD, None)]))
+            else:
+                cuts = np.searchsorted(once, np.arange(len(n) + 1) << 32)
+                terms = [tagged(words.take(pa.array(once[a:b] & WORD)), x) for x, a, b in zip(langs, cuts, cuts[1:])]
+                yield batch([*zip(langs, sources, [None] * len(langs), terms, terms)], None)
+            if sum(len(keys) for found in found_in.values() for keys, _ in found) > FLUSH:
                 yield from sums()
         yield from sums()
 
-    return rows.mapInArrow(run, "lang string, source string, terms array<string>, weight long, least array<long>")
+    return rows.mapInArrow(run, "lang string, source string, terms array<string>, weight long, docs array<long>")
 
 
-def distinct_terms(read: DataFrame) -> float:
-    """About how many distinct terms there are, from the least hashes."""
-    least = [r.h for r in read.select(F.explode("least").alias("h")).distinct().orderBy("h").limit(SKETCH).collect()]
-    return len(least) if len(least) < SKETCH else (SKETCH - 1) * 2.0**63 / least[-1]
+def with_documents(found: DataFrame, most: int) -> DataFrame:
+    """Rows of ``terms``, in as many of which a (term, docs) of ``found`` stands
+    as documents hold it, in ``most`` if they are more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            docs = np.minimum(np.asarray(part.column("docs")), most)
+            order = np.argsort(-docs, kind="stable")
+            n = np.searchsorted(-docs[order], -np.arange(1, docs.max(initial=0) + 1), side="right")
+            at = order[ranges(np.zeros(len(n), np.int64), n)]
+            ends = pa.array(np.cumsum(np.append(0, n)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, part.column("term").take(pa.array(at)).cast(pa.string()))], ["terms"])
+
+    return found.select("term", "docs").mapInArrow(run, "terms array<string>")
 
 
 def term_counts(rows: DataFrame, min_docs: int, fit_terms: int) -> DataFrame:
     """(lang, source, term, n): occurrences of the kept terms, a row per source
     that has the term."""
     spark = rows.sparkSession
-    read = written(with_terms(rows), "divergence-terms")
-    shards = math.ceil(max(distinct_terms(read), 1) / fit_terms)
+    read = written(with_terms(rows, summed=True), "divergence-terms")
+    found = written(read.where("weight is null").select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "docs")))
+                    .groupBy("term").agg(F.sum("docs").alias("docs")), "divergence-documents")
+    shards = math.ceil(max(found.count(), 1) / fit_terms)
     out = None
     for shard in range(shards):
-        mine = read if shards == 1 else \
-            read.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == shard))
+        def mine(term: Column) -> Column:
+            return F.pmod(F.xxhash64(term), F.lit(shards)) == shard
+
+        documents = with_documents(found if shards == 1 else found.where(mine(F.col("term"))), min_docs)
         # a term of its own in enough rows, so that a fit on no kept term stands
         guard = spark.range(min_docs).select(F.array(F.lit(_BETWEEN * 2)).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=_LARGEST) \
-            .fit(mine.where("weight is null").select("terms").unionByName(guard))
-        names = pa.table({"index": pa.array(range(len(model.vocabulary)), pa.int32()), "name": pa.array(model.vocabulary, pa.string())})
-        counted = model.transform(mine.where("weight is not null")).select("lang", "source", "weight", F.unwrap_udt("vector").alias("v")) \
-            .select("lang", "source", "weight", F.inline(F.arrays_zip(F.col("v.indices").alias("index"), F.col("v.values").alias("n")))) \
-            .groupBy("lang", "source", "index").agg(F.sum(F.col("n").cast("long") * F.col("weight")).alias("n"))
-        named = counted.join(spark.createDataFrame(names), "index") \
-            .select("lang", "source", F.element_at(F.split("name", _BETWEEN), -1).alias("term"), "n")
+            .fit(documents.unionByName(guard))
+        langs, _, terms = zip(*(name.rpartition(_BETWEEN) for name in model.vocabulary))
+        names = pa.table({"index": pa.array(range(len(terms)), pa.int32()), "lang": pa.array(langs, pa.string()), "term": pa.array(terms, pa.string())})
+        occurring = read.where("weight is not null")
+        if shards > 1:
+            occurring = occurring.withColumn("terms", F.filter("terms", mine))
+        # a term has one language
+        counted = model.transform(occurring).select("source", "weight", F.unwrap_udt("vector").alias("v")) \
+            .select("source", "weight", F.inline(F.arrays_zip(F.col("v.indices").alias("index"), F.col("v.values").alias("n")))) \
+            .groupBy("source", "index").agg(F.sum(F.col("n").cast("long") * F.col("weight")).alias("n"))
+        named = counted.join(spark.createDataFrame(names), "index").select("lang", "source", "term", "n")
         named = written(named, "divergence-counts")
         out = named if out is None else out.unionByName(named)
     return out

@@ -78,3 +78,27 @@ def test_occurrences_are_summed_before_they_are_counted(spark):
             total.update({t: r.weight for t in r.terms})
     assert total == {"en\x00one": 2000, "en\x00two": 1000, "fr\x00one": 50}
     assert sum(len(r.terms) for r in got if r.weight is not None) <= 3 * 11
+
+
+def test_documents_are_summed_before_the_fit(spark):
+    """A term that many documents hold reaches the fit in as many rows as minDF asks for, a rarer one in a row a document."""
+    rows = [("en", "one one two", "a")] * 50 + [("en", "Two rare", None), ("fr", "One", "a"), ("fr", "", "b"), ("fr", " 7 ", None)]
+    got = divergence.with_terms(spark.createDataFrame(rows, "lang string, text string, source string").coalesce(1), summed=True).collect()
+    docs = {t: n for r in got if r.weight is None for t, n in zip(r.terms, r.docs)}
+    assert docs == {"en\x00one": 50, "en\x00two": 51, "en\x00rare": 1, "fr\x00one": 1}
+    fit = divergence.with_documents(spark.createDataFrame(list(docs.items()), "term string, docs long").coalesce(1), 30).collect()
+    assert len(fit) == 30 and all(len(set(r.terms)) == len(r.terms) for r in fit)
+    assert Counter(t for r in fit for t in r.terms) == {t: min(n, 30) for t, n in docs.items()}
+
+
+def test_tasks_that_hand_on_often_give_the_same(spark, odd_rows, monkeypatch):
+    rows = rows_of(odd_rows)
+    monkeypatch.setattr(divergence, "FLUSH", 5)
+    monkeypatch.setattr(divergence, "ROW_TERMS", 3)
+    table = spark.createDataFrame([(x, t or "", s) for x, t, s in rows], "lang string, text string, source string").coalesce(2)
+    found = Counter()
+    for r in divergence.with_terms(table.fillna(""), summed=True).collect():
+        for t in r.terms:
+            found[r.lang, r.source, t] += r.weight or 0
+    assert {k: n for k, n in found.items() if n} == Counter(
+        (x or "", s or "", f"{x or ''}\x00{t}") for x, text, s in rows for t in TERM.findall(folded(text)))
