@@ -4,9 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import line_crf, mixing
+from tessera.llm.common import words_of
 
 from .conftest import frame, prose
 
@@ -151,3 +154,35 @@ def test_memory_of_a_slice():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 160 << 20
+
+
+def test_words_of_many_texts_are_those_of_each():
+    """Words are split and numbered for a slice at once; what they are stays that of ``bytes.split``."""
+    texts = ["", "  ", "A b\x00 a\tÉ\x0bé\x0c c\x1c\x1d\x1e\x1fd\x85e\xa0f g", "\nA\r\n", "x" * 300, "b \u2003 İ ſ a"]
+    column = pa.array(["left out", *texts, "left out"]).slice(1, len(texts))
+    words, ids, n = words_of(column, mixing._LOWER)
+    words = words.to_pylist()
+    assert len(set(words)) == len(words)
+    of = np.split(ids, np.cumsum(n)[:-1])
+    assert [[words[i] for i in x] for x in of] == [t.encode().lower().split() for t in texts]
+    assert len(words_of(pa.array([], pa.string()), mixing._LOWER)[0]) == 0
+
+
+def test_words_are_counted_whatever_a_task_holds(spark, odd_rows, monkeypatch):
+    """Numbers of training texts; words of other texts alone stand with 0."""
+    expected = {}
+    for i, text, _ in odd_rows:
+        raw = (text or "").encode()
+        script, other = int(mixing.scripts_of([raw])[0]), i is not None and zlib.crc32(str(i).encode()) % 3 == 0
+        for w in [*raw.lower().split(), b""]:
+            expected[w, script] = expected.get((w, script), 0) + (not other)
+    rows = frame(spark, odd_rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).coalesce(2)
+    for flush in (mixing.FLUSH, 3):
+        monkeypatch.setattr(mixing, "FLUSH", flush)
+        assert {(bytes(r.word), r.script): r.c for r in mixing._counted(rows, 3).collect()} == expected
+
+
+def test_slots_in_16_bits_keep_their_ratio():
+    pair = np.array([[0, 0], [1, 65535], [65536, 1], [10**9, 3 * 10**9]], np.int64)
+    expected = np.ceil(pair / np.maximum(pair.max(axis=1, keepdims=True) / 65535.0, 1.0)).astype(np.uint16)
+    assert (mixing._scaled(pair) == expected).all() and (mixing._scaled(pair.astype(float)) == expected).all()
