@@ -1,4 +1,5 @@
 import math
+import random
 import tracemalloc
 import zlib
 from collections import Counter
@@ -81,6 +82,39 @@ def test_whole_word_contexts_of_all_words(spark):
     assert sum(per_word) / len(per_word) > -11.0      # letters alone: 9 * log10(26) = 12.7
 
 
+def test_words_in_another_order_score_worse(spark):
+    """What follows what counts: training texts hold pairs that their words in another order do not make."""
+    texts = [prose(k, 60) for k in range(40)]
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % mixing.MODULUS == 0][:2]
+    other = " ".join(random.Random(0).sample(texts[0].split(), len(texts[0].split())))
+    rows = [(k, t, "a") for k, t in enumerate(texts)] + [(held[0], texts[0], "a"), (held[1], other, "a")]
+    got = {r.doc_id: r for r in mixing.score_texts(frame(spark, rows)).collect()}
+    one, two = got[held[0]], got[held[1]]
+    assert one.held_out and two.held_out and one.n_tokens == two.n_tokens and one.score > two.score + 5
+
+
+def test_pairs_are_counted_over_training_texts(spark, monkeypatch):
+    """The number of every pair of a slice, however the hashes are cut, and its share in the score."""
+    assert len(set(mixing.pair_keys(mixing.word_keys([b"a", b"b", b"a", b"ab", b""]), np.array([0])).tolist())) == 5
+    for x in (np.arange(1000, dtype=np.uint64) ** 5, np.zeros(0, np.uint32), np.array([-1, 7, 1 << 20], np.int32)):
+        assert (mixing.unpacked(mixing.packed(x), x.dtype.str) == x).all()
+    rows = [(k, t, "a") for k, t in enumerate(["a b a b c", "b a", "", None, "c a b"] * 5)]
+    expected = Counter()
+    for k, t, _ in rows:
+        words = ["<", *(t or "").split(), ">"]
+        if zlib.crc32(str(k).encode()) % mixing.MODULUS:
+            expected.update(zip(words, words[1:]))
+    found, scores, inner = [], [], mixing._pair_numbers
+    for most, text_bytes in ((mixing.PART_TOKENS, mixing.TEXT_BYTES), (2, 40)):
+        monkeypatch.setattr(mixing, "PART_TOKENS", most)
+        monkeypatch.setattr(mixing, "TEXT_BYTES", text_bytes)
+        monkeypatch.setattr(mixing, "_pair_numbers", lambda *args: found.append(inner(*args)) or found[-1])
+        scores.append(sorted((r.doc_id, round(r.score, 9)) for r in mixing.score_texts(frame(spark, rows)).collect()))
+        numbers = {n for r in found.pop().collect() for n in mixing.unpacked(bytes(r.n), "u8").tolist()}
+        assert numbers - {0} == set(expected.values())
+    assert scores[0] == scores[1]
+
+
 def test_pages_know_what_others_hold():
     """Counts of every context are those of the whole vocabulary, however it is cut."""
     rng = np.random.default_rng(1)
